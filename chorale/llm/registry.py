@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorale.llm import decontam, licenses, token_counts, toxicity, trie_bpe, vantage
+from chorale.llm import decontam, licenses, simhash, token_counts, toxicity, trie_bpe, vantage
 from chorale.llm.common import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,6 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_licenses, op3_token_counts, op4_toxicity, op6_vantage_points, op7_decontaminate, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_licenses, op3_token_counts, op4_toxicity, op6_vantage_points, op7_decontaminate, op10_bpe_round_trip)}
 
 ORACLES: dict[str, str] = {}
