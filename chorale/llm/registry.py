@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorale.llm import decontam, difference_cover, licenses, simhash, token_counts, toxicity, trie_bpe, vantage
+from chorale.llm import decontam, difference_cover, licenses, simhash, suffix_buckets, token_counts, toxicity, trie_bpe, vantage
 from chorale.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_passages")
 
 
+def op5_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_buckets.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return vantage.nearest(vectors, vectors.where("vec_id % 50 = 0"))
@@ -45,6 +49,6 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_licenses, op3_token_counts, op4_toxicity, op6_vantage_points, op7_decontaminate, op9_difference_cover, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_licenses, op3_token_counts, op4_toxicity, op5_suffix_buckets, op6_vantage_points, op7_decontaminate, op9_difference_cover, op10_bpe_round_trip)}
 
 ORACLES: dict[str, str] = {}
