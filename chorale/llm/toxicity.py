@@ -208,7 +208,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     slots = [F.sum(F.when(F.col("slot") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(4)]
     counted = map_arrow(rows, count, "word binary, slot int, n long").groupBy("word").agg(*slots)
     # a word that no two toxic documents of the sample share says nothing alone
-    found = {bytes(r.word): (r.c0, r.c1, r.c2, r.c3) for r in counted.where("c1 + c3 >= 2 or word = X''").toLocalIterator()}
+    found = {bytes(r.word): (r.c0, r.c1, r.c2, r.c3) for r in counted.where("c1 + c3 >= 2 or word = X''").collect()}
     totals = found.pop(b"", (0, 0, 0, 0))
 
     def model(a: int, b: int) -> Model:
@@ -236,7 +236,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     probed = map_arrow(rows, probe, "x double, n long, kind int")
     hist: Counter = Counter()
     seen = []
-    for r in probed.toLocalIterator():
+    for r in probed.collect():
         if r.kind == 2:
             hist[r.x] += r.n
         else:
