@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorale.llm import decontam, difference_cover, licenses, simhash, suffix_buckets, token_counts, toxicity, trie_bpe, vantage
+from chorale.llm import decontam, difference_cover, lattice, licenses, simhash, suffix_buckets, token_counts, toxicity, trie_bpe, vantage
 from chorale.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"))
+
+
 def op9_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return difference_cover.dedup(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,6 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_licenses, op3_token_counts, op4_toxicity, op5_suffix_buckets, op6_vantage_points, op7_decontaminate, op9_difference_cover, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_licenses, op3_token_counts, op4_toxicity, op5_suffix_buckets, op6_vantage_points, op7_decontaminate, op8_lattice, op9_difference_cover, op10_bpe_round_trip)}
 
 ORACLES: dict[str, str] = {}
