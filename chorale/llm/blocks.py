@@ -53,9 +53,15 @@ def unpack(payload: bytes) -> Block:
     return Block(ids, named, np.cumsum(sizes), raw[8 + 17 * n :])
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """block_id, n_docs, n_bytes and payload, written to the checkpoint folder."""
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """block_id, n_docs, n_bytes and payload, written to the checkpoint folder.
+
+    With ``carry``, all columns of ``docs`` but the text go along in ``rest``.
+    """
     rows = keyed_texts(docs, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("long"))
+    if carry:
+        rest = F.struct(*[docs[c] for c in docs.columns if c != text])
+        rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -63,31 +69,46 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
         press = zstandard.ZstdCompressor(level=6)
         number = TaskContext.get().partitionId() << 32
-        ids: list[int | None] = []
-        texts: list[bytes] = []
+        held: list[tuple[pa.RecordBatch, list[bytes]]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal number
+            ids = [i for batch, _ in held for i in batch.column("doc_id").to_pylist()]
+            texts = [t for _, part in held for t in part]
             raw = b"".join([
                 struct.pack("<q", len(ids)), np.array([i or 0 for i in ids], "<i8").tobytes(), np.array(list(map(len, texts)), "<i8").tobytes(),
                 np.array([i is not None for i in ids], "?").tobytes(), *texts,
             ])
             number += 1
-            return pa.RecordBatch.from_pydict({"block_id": pa.array([number], pa.int64()), "n_docs": pa.array([len(ids)], pa.int64()), "n_bytes": pa.array([size], pa.int64()), "payload": pa.array([press.compress(raw)], pa.binary())})
+            out = {"block_id": pa.array([number], pa.int64()), "n_docs": pa.array([len(ids)], pa.int64()), "n_bytes": pa.array([size], pa.int64()), "payload": pa.array([press.compress(raw)], pa.binary())}
+            if carry:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, held[0][0].schema.remove(1)) as to:
+                    for batch, _ in held:
+                        to.write_batch(batch.drop_columns(["text"]))
+                out["rest"] = pa.array([press.compress(sink.getvalue().to_pybytes())], pa.binary())
+            return pa.RecordBatch.from_pydict(out)
 
         for batch, part in slices(batches, most=BLOCK_BYTES):
-            for i, t in zip(batch.column("doc_id").to_pylist(), part, strict=True):
-                if texts and size + len(t) > BLOCK_BYTES:
-                    yield flush()
-                    ids, texts, size = [], [], 0
-                ids.append(i)
-                texts.append(t)
-                size += len(t)
-        if texts:
+            more = sum(map(len, part))
+            if held and size + more > BLOCK_BYTES:
+                yield flush()
+                held, size = [], 0
+            held.append((batch, part))
+            size += more
+        if held:
             yield flush()
 
-    return cut(map_arrow(rows, run, "block_id long, n_docs long, n_bytes long, payload binary"))
+    return cut(map_arrow(rows, run, "block_id long, n_docs long, n_bytes long, payload binary" + ", rest binary" * carry))
+
+
+def carried(rest: bytes) -> pa.Table:
+    """The columns that went along with a block, in order of its texts."""
+    import zstandard
+
+    table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rest)).read_all()
+    return pa.Table.from_struct_array(table.column("rest"))
 
 
 class Buckets:

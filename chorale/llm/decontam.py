@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -146,6 +145,31 @@ def _scan(rows: DataFrame, items: list[tuple[str, bytes]], n: int, only_hits: bo
     return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key long, n_words long, spans array<long>, items array<string>")
 
 
+def _clean(docs: DataFrame, items: list[tuple[str, bytes]], n: int, share: int, text: str) -> DataFrame:
+    """:func:`decontaminate` in one pass, for a benchmark of one part."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(shared.value, n)
+        get = windows.ids.__getitem__
+        for batch, texts in slices(batches, text):
+            parts = [(t or b"").translate(FOLD).split() for t in texts]
+            sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+            ends = np.cumsum(sizes)
+            hit, _ = windows.hits(np.fromiter((i for p in parts for i in map(get, p)), dtype=np.int64, count=int(ends[-1])), ends)
+            keep = []
+            for k, (e, size) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)):
+                own = hit[e - size : e]
+                some = int(own.sum())
+                keep.append(not some or share * some < size)
+                if some and keep[-1]:
+                    texts[k] = cut_words(texts[k], np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8))).tolist())
+            at = batch.schema.get_field_index(text)
+            yield batch.set_column(at, text, pa.array(texts, pa.binary()).cast(pa.string())).filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def _merged(spans: list[list[int]]) -> list[int]:
     out: list[int] = []
     for a, b in sorted((s[i], s[i + 1]) for s in spans for i in range(0, len(s), 2)):
@@ -217,6 +241,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
     from others the hit words are removed; documents without a hit stay as
     they are.  All columns are kept.
     """
+    if benchmark.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0] <= PASS_BYTES:
+        return _clean(docs, next(_chunks(benchmark, "item_id", "text", PASS_BYTES)), n, share, text)
     leaks = find_leaks(docs, benchmark, n, doc_id, text).where(F.size("spans") > 0).select("doc_id", "key", "n_words", "spans").dropDuplicates(["doc_id", "key"])
     a = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
     hit = F.expr("aggregate(sequence(0, size(__s) div 2 - 1), 0L, (s, i) -> s + __s[2 * i + 1] - __s[2 * i])")
@@ -234,7 +260,3 @@ def _cut_series(texts, spans):
 
     return pd.Series([cut_words(t.encode(), list(s)).decode() for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-
-def items_digest(items: list[str]) -> str:
-    """SHA-256 of sorted, comma-joined ids, as :func:`digests` gives it."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chorale.llm import wordbpe
-from chorale.llm.blocks import Block, Buckets, ask, bits, pack, split, unpack
+from chorale.llm.blocks import Block, Buckets, ask, bits, carried, pack, split, unpack
 from chorale.llm.common import cut, map_arrow
 
 #: A perfect difference set: every difference modulo 31 is one of two of its members.
@@ -177,13 +177,53 @@ def _removed(words: Words, row: dict, window: int) -> np.ndarray:
     return np.cumsum(mark[:-1]) > 0
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+def _judged(docs: DataFrame, window: int, doc_id: str, text: str, carry: bool) -> DataFrame:
+    """Blocks with the answers from which :func:`_removed` tells what goes."""
+    if window < PERIOD + 8:
+        raise ValueError(f"windows have {PERIOD + 8} words or more")
+    blocks = pack(docs, doc_id, text, carry)
+    total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    buckets = max(1, -(-total // (30 * BUCKET_KEYS)))  # an anchor takes about 30 bytes of text
+    shared = cut(ask(blocks, _emit_anchors(buckets, window), _settle_shared, ["block_id", "payload"]))
+    asking = blocks.join(shared, "block_id", "left")
+    firsts = ask(asking, _emit_windows(buckets, window), _settle_first, ["block_id", "payload", "answers"])
+    return asking.join(firsts.withColumnRenamed("answers", "windows"), "block_id", "left")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the words that :func:`dedup` removes taken out of the texts.
+
+    A text that loses words is its kept words, joined by one space; others
+    stay as they are (a null one is empty).  All rows and columns are kept.
+    """
+    whole = _judged(docs, window, doc_id, text, carry=True)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                block = unpack(row["payload"])
+                words = Words(block)
+                gone = _removed(words, row, window)
+                texts = block.texts()
+                for i, (part, a) in enumerate(zip(words.parts, words.starts.tolist(), strict=True)):
+                    g = gone[a : a + len(part)]
+                    if g.any():
+                        texts[i] = b" ".join([w for w, x in zip(part, g.tolist(), strict=True) if not x])
+                rest = carried(row["rest"])
+                columns = [pa.chunked_array([pa.array(texts, pa.binary()).cast(pa.string())]) if c == text else rest.column(c) for c in names]
+                yield from pa.Table.from_arrays(columns, names).combine_chunks().to_batches()
+
+    names = docs.columns
+    return map_arrow(whole.select("payload", "rest", "answers", "windows"), finish, docs.schema)
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of ``docs``.
 
     A word is removed if it lies in ``window`` consecutive words that also
     start somewhere in a document of a smaller id.  Words are runs of non-white
-    space, kept words are joined by one space; ``with_text`` adds them as
-    kept_text.  Null or empty texts have no words.  Ids are integers; rows of
+    space, kept words are joined by one space.  Null or empty texts have no words.  Ids are integers; rows of
     equal ids do not remove from one another; a null id counts as larger than
     any other.  Rows come back one for one.
 
@@ -193,15 +233,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: s
     are cut to 32 bits beside their bucket, which may add windows to compare
     and never loses one; windows are told apart by 64 bits.
     """
-    if window < PERIOD + 8:
-        raise ValueError(f"windows have {PERIOD + 8} words or more")
-    blocks = pack(docs, doc_id, text)
-    total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    buckets = max(1, -(-total // (30 * BUCKET_KEYS)))  # an anchor takes about 30 bytes of text
-    shared = cut(ask(blocks, _emit_anchors(buckets, window), _settle_shared, ["block_id", "payload"]))
-    asking = blocks.select("block_id", "payload").join(shared, "block_id", "left")
-    firsts = ask(asking, _emit_windows(buckets, window), _settle_first, ["block_id", "payload", "answers"])
-    whole = asking.join(firsts.withColumnRenamed("answers", "windows"), "block_id", "left")
+    whole = _judged(docs, window, doc_id, text, carry=False)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,9 +255,6 @@ def dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: s
                     "n_removed": pa.array(counts, pa.int64()),
                     "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string()),
                 }
-                if with_text:
-                    out["kept_text"] = pa.array(kept, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_pydict(out)
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return map_arrow(whole.select("block_id", "payload", "answers", "windows"), finish, schema)
+    return map_arrow(whole.select("payload", "answers", "windows"), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -246,6 +246,26 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return full
 
 
+def drop_toxic(docs: DataFrame, model: Model, at: float = 0.7, text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text scores ``at`` or more.
+
+    One pass without a shuffle; all columns are kept, whatever their names.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch, texts in slices(batches, text):
+            keep = []
+            for t in texts:
+                words = (t or b"").translate(FOLD).split()
+                s = m.scores(words, [m.token(w) for w in words])
+                keep.append(m.score(m.evidence(m.best(s), len(s))) < at)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score, n_passages and passages of every row of ``docs``.
 

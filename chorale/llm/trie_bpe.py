@@ -6,6 +6,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -149,6 +150,12 @@ def _known(path: str, texts: list[list[bytes]]) -> dict[bytes, tuple[int, bytes,
     return memo
 
 
+def _lists(packed: list[bytes]) -> pa.ListArray:
+    """Little-endian ids of each text as an array of int."""
+    ends = np.r_[0, np.cumsum([len(p) // 4 for p in packed])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4").astype(np.int32)))
+
+
 def encode(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every row of ``docs``.
 
@@ -158,14 +165,10 @@ def encode(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id"
     path = tokenizer or wordbpe.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for batch, texts in slices(batches):
             words = [t.split() for t in texts]
             memo = _known(path, words)
-            flat = [np.frombuffer(b"".join([memo[x][1] for x in w]), dtype="<i4") for w in words]
-            ends = np.r_[0, np.cumsum([len(x) for x in flat])].astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*flat, np.empty(0, np.int32)]).astype(np.int32)))
+            ids = _lists([b"".join([memo[x][1] for x in w]) for w in words])
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": ids})
 
     rows = keyed_texts(docs, doc_id, text)
@@ -191,9 +194,11 @@ def decode(encoded: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_
     return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def digests(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens and SHA-256 of the ids and of the decoded text.
 
+    ``with_ids`` adds the ids themselves, an array of int.
+
     Encodes and decodes each text in one pass without a shuffle; ids are
     hashed as little-endian unsigned 32-bit integers.  Null is empty; rows
     come back one for one; other columns are not read.
@@ -204,18 +209,24 @@ def digests(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id
         for batch, texts in slices(batches):
             words = [t.split() for t in texts]
             memo = _known(path, words)
-            n, a, b = [], [], []
+            n, a, b, ids = [], [], [], []
             for w in words:
                 got = [x for x in map(memo.__getitem__, w) if x[0]]
-                n.append(sum([x[0] for x in got]))
-                a.append(hashlib.sha256(b"".join([x[1] for x in got])).hexdigest())
+                packed = b"".join([x[1] for x in got])
+                n.append(len(packed) // 4)
+                ids.append(packed if with_ids else b"")
+                a.append(hashlib.sha256(packed).hexdigest())
                 b.append(hashlib.sha256(b" ".join([x[2] for x in got])).hexdigest())
-            yield pa.RecordBatch.from_pydict({
+            out = {
                 "doc_id": batch.column("doc_id"),
                 "n_tokens": pa.array(n, pa.int64()),
                 "ids_sha256": pa.array(a, pa.string()),
                 "decoded_sha256": pa.array(b, pa.string()),
-            })
+            }
+            if with_ids:
+                out["ids"] = _lists(ids)
+            yield pa.RecordBatch.from_pydict(out)
 
     rows = keyed_texts(docs, doc_id, text)
-    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_arrow(rows, run, schema + ", ids array<int>" * with_ids)
