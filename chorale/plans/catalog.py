@@ -1,6 +1,8 @@
-"""Registered queries and their DuckDB counterparts."""
+"""All registered queries of the signal library."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from chorale.plans import quality, spectra, viewing  # noqa: F401
+from chorale.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
