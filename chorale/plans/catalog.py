@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chorale.plans import quality, spectra, viewing  # noqa: F401
+from chorale.plans import geostat, graphs, quality, resampling, spectra, streams, viewing  # noqa: F401
 from chorale.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
