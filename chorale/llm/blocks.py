@@ -182,6 +182,15 @@ def bits(answers: list[dict] | None, n: int, per_key: int = 1) -> np.ndarray:
     return np.concatenate(parts).astype(bool).reshape(-1, per_key)
 
 
+def planes(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as byte planes; the upper ones hardly change and compress well."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(data: bytes, n: int, offset: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, offset).reshape(8, n).T).view("<u8").ravel()
+
+
 def as_bits(flags: np.ndarray) -> bytes:
     """A row of flags for each key, packed, after their number."""
     return struct.pack("<q", len(flags)) + np.packbits(flags).tobytes()

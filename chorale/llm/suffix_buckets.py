@@ -10,8 +10,8 @@ equally.
 
 Only what can still match is refined.  Each 200-byte string holds a minimiser,
 the q-gram with the least pointer, at the same offset wherever it stands.  In
-the first round blocks ask, for the whole stretch of strings that a minimiser
-can account for, whether it stands elsewhere, and whether other stretches have
+the first round blocks ask, for the whole stretch of strings that share a
+minimiser, whether it stands elsewhere, and whether other stretches have
 the same minimiser; where they do, the second round asks string by string,
 once for each kind of stretch.
 """
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorale.llm.blocks import Block, Buckets, ask, bits, pack, split, unpack
+from chorale.llm.blocks import Block, Buckets, ask, bits, from_planes, pack, planes, split, unpack
 from chorale.llm.common import cut, map_arrow
 
 #: Bytes of a string that counts, and of the q-grams that the first buckets are made of.
@@ -43,8 +43,6 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         h ^= h >> np.uint64(32)
         h += b
         h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xC2B2AE3D27D4EB4F)
         h ^= h >> np.uint64(29)
     return h
 
@@ -77,16 +75,30 @@ class Pointers:
             self.depth[depth] = _pair(low, np.r_[low[step:], np.zeros(min(step, self.n), dtype=np.uint64)])
         return self.depth[depth]
 
-    def full(self) -> np.ndarray:
-        """Pointers of all ``LENGTH`` bytes."""
-        for d in (32, 64, 128):
-            self.deepen(d, d // 2)
-        return self.deepen(LENGTH, 128)
-
-    def minimisers(self) -> np.ndarray:
-        """Positions of the least q-gram of each string, leftmost among equals."""
+    def half(self) -> np.ndarray:
+        """Pointers of 128 bytes; those of depths between are dropped once used."""
+        if 128 not in self.depth:
+            self.depth.pop(8)
+            for d in (32, 64, 128):
+                self.deepen(d, d // 2)
+                if d > 2 * Q:
+                    self.depth.pop(d // 2)
+        return self.depth[128]
+
+    def full(self, at: np.ndarray) -> np.ndarray:
+        """Pointers of all ``LENGTH`` bytes from each of ``at``."""
+        d = self.half()
+        return _pair(d[at], d[at + LENGTH - 128])
+
+    def minimisers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Least q-grams of strings, leftmost among equals, and the first and last string of each.
+
+        The strings that have a position as their minimiser start one after
+        another, so each string is accounted for once.
+        """
+        none = np.empty(0, dtype=np.int64)
         if self.n < LENGTH:
-            return np.empty(0, dtype=np.int64)
+            return none, none, none
         wide = max(24, int(self.n).bit_length())
         h = (self.depth[Q] >> np.uint64(wide) << np.uint64(wide)) | np.arange(self.n, dtype=np.uint64)
         span, have = LENGTH - Q + 1, 1
@@ -94,25 +106,23 @@ class Pointers:
             step = min(have, span - have)
             h = np.minimum(h[:-step], h[step:])
             have += step
-        starts = self.end_of[: len(h)] - np.arange(len(h)) >= LENGTH
+        starts = np.flatnonzero(self.end_of[: len(h)] - np.arange(len(h)) >= LENGTH)
+        if not len(starts):
+            return none, none, none
         at = (h[starts] & np.uint64((1 << wide) - 1)).astype(np.int64)
-        return at[np.r_[True, np.diff(at) != 0]] if len(at) else at
+        new = np.flatnonzero(np.r_[True, np.diff(at) != 0])
+        return at[new], starts[new], starts[np.r_[new[1:] - 1, len(at) - 1]]
 
-    def stretches(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First and last string start that minimisers at ``at`` account for, and a pointer of it all.
+    def stretches(self, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A pointer of all that the strings of each minimiser span.
 
-        The stretch is cut at the document's ends.  Equal stretches have their
-        minimiser at the same offset, so all their strings are equal too.
+        Equal stretches have their minimiser at the same offset, so all their
+        strings are equal too.
         """
-        self.full()
-        end = self.end_of[at]
-        first = np.maximum(end - self.sizes[np.searchsorted(self.ends, at, side="right")], at - (LENGTH - Q))
-        last = np.minimum(at, end - LENGTH)
         stop = last + LENGTH
-        d = self.depth[128]
+        d = self.half()
         h = _pair(_pair(d[first], d[np.minimum(first + 128, stop - 128)]), d[stop - 128])
-        h = _pair(h, ((stop - first) * 1024 + (at - first)).astype(np.uint64))
-        return first, last, h
+        return _pair(h, ((stop - first) * 1024 + (at - first)).astype(np.uint64))
 
 
 def _named(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,10 +141,10 @@ def _emit_minimisers(buckets: int) -> Callable[[dict], Iterator[tuple[int, bytes
 
     def emit(row: dict) -> Iterator[tuple[int, bytes]]:
         p = Pointers(unpack(row["payload"]))
-        at = p.minimisers()
+        at, first, last = p.minimisers()
         if not len(at):
             return
-        _, _, whole = p.stretches(at)
+        whole = p.stretches(at, first, last)
         key, stretch, counts, _ = _named(_pair(p.depth[Q][at], np.uint64(1)), whole)
         for k, a, b in ranges.slices(key):
             yield k, struct.pack("<q", b - a) + key[a:b].astype("<u4").tobytes() + stretch[a:b].astype("<u8").tobytes() + np.packbits(counts[a:b] > 1).tobytes()
@@ -176,7 +186,7 @@ def _settle_minimisers(asked: list[bytes]) -> list[bytes]:
 def _settle_strings(asked: list[bytes]) -> list[bytes]:
     """A bit for each string: does it stand elsewhere?"""
     sizes = [struct.unpack_from("<q", a)[0] for a in asked]
-    key = np.concatenate([np.frombuffer(a, "<u8", n, 8) for a, n in zip(asked, sizes, strict=True)])
+    key = np.concatenate([from_planes(a, n, 8) for a, n in zip(asked, sizes, strict=True)])
     many = np.concatenate([np.unpackbits(np.frombuffer(a, np.uint8, offset=8 + 8 * n), count=n) for a, n in zip(asked, sizes, strict=True)]).astype(bool)
     return split(_more_than_one(key, many), sizes)
 
@@ -194,10 +204,10 @@ def _states(p: Pointers, answers: list[dict] | None) -> tuple[np.ndarray, np.nda
 
     Some are both: the others that the same stretch settles count on them.
     """
-    at = p.minimisers()
+    at, first, last = p.minimisers()
     if not len(at) or not answers:
         return np.zeros(p.n, dtype=bool), np.empty(0, dtype=np.int64)
-    first, last, whole = p.stretches(at)
+    whole = p.stretches(at, first, last)
     _, _, counts, place = _named(_pair(p.depth[Q][at], np.uint64(1)), whole)
     got = bits(answers, len(counts), 2)[place]
     sure = _ranges(first[got[:, 0]], last[got[:, 0]], p.n)
@@ -210,9 +220,9 @@ def _emit_strings(buckets: int) -> Callable[[dict], Iterator[tuple[int, bytes]]]
     def emit(row: dict) -> Iterator[tuple[int, bytes]]:
         p = Pointers(unpack(row["payload"]))
         _, open_ = _states(p, row["answers"])
-        key, counts = np.unique(p.full()[open_], return_counts=True) if len(open_) else (np.empty(0, np.uint64), None)
+        key, counts = np.unique(p.full(open_), return_counts=True) if len(open_) else (np.empty(0, np.uint64), None)
         for k, a, b in ranges.slices(key):
-            yield k, struct.pack("<q", b - a) + key[a:b].astype("<u8").tobytes() + np.packbits(counts[a:b] > 1).tobytes()
+            yield k, struct.pack("<q", b - a) + planes(key[a:b]) + np.packbits(counts[a:b] > 1).tobytes()
 
     return emit
 
@@ -221,7 +231,7 @@ def _covered(p: Pointers, row: dict) -> np.ndarray:
     """Which bytes lie in a string that also stands elsewhere."""
     sure, open_ = _states(p, row["answers"])
     if len(open_):
-        keys, place = np.unique(p.full()[open_], return_inverse=True)
+        keys, place = np.unique(p.full(open_), return_inverse=True)
         sure[open_[bits(row["strings"], len(keys))[:, 0][place]]] = True
     starts = np.flatnonzero(sure)
     return _ranges(starts, starts + LENGTH - 1, p.n)
