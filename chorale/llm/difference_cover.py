@@ -11,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorale.llm import wordbpe
-from chorale.llm.blocks import Block, Buckets, ask, bits, carried, pack, split, unpack
+from chorale.llm.blocks import Block, Buckets, ask, bits, carried, from_planes, pack, planes, split, unpack
 from chorale.llm.common import cut, map_arrow
 
 #: A perfect difference set: every difference modulo 31 is one of two of its members.
@@ -22,47 +21,71 @@ WINDOW = 50
 #: Hashes of a bucket, on average.
 BUCKET_KEYS = 500_000
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_MEMO: list = []
+_ODD = 0x9E3779B97F4A7C15
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_CODE = np.random.default_rng(5).integers(1, 1 << 63, size=256, dtype=np.uint64)
+_POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
-def _codes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words."""
-    from xxhash import xxh3_64_intdigest
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
+    if len(_POWERS[0]) < n:
+        m = max(n, 2 * len(_POWERS[0]))
+        with np.errstate(over="ignore"):
+            _POWERS[:] = [np.r_[np.uint64(1), np.cumprod(np.full(m, np.uint64(x)))] for x in (_ODD, pow(_ODD, -1, 1 << 64))]
+    return _POWERS[0], _POWERS[1]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+    return h
 
-    if not _MEMO:
-        _MEMO.append(wordbpe.Memo(200_000))
-    memo = _MEMO[0]
-    new = [w for w in set(words) if w not in memo]
-    memo.learn(new, [xxh3_64_intdigest(w) for w in new])
-    return np.array(list(map(memo.__getitem__, words)), dtype=np.uint64)
+
+def _rolling(codes: np.ndarray) -> np.ndarray:
+    """Prefix sums from which a run's polynomial hash is one difference."""
+    with np.errstate(over="ignore"):
+        out = np.empty(len(codes) + 1, dtype=np.uint64)
+        out[0] = 0
+        np.cumsum(codes * _powers(len(codes) + 1)[0][: len(codes)], dtype=np.uint64, out=out[1:])
+    return out
 
 
 class Words:
-    """The words of a block: their hashes, and where each document's lie."""
+    """The words of a block: their hashes, and where each document's lie.
+
+    All of it is array arithmetic on the block's bytes; no word becomes an
+    object of its own.
+    """
 
     def __init__(self, block: Block):
-        self.parts = [t.split() for t in block.texts()]
-        self.sizes = np.array(list(map(len, self.parts)), dtype=np.int64)
+        text = np.frombuffer(block.text, dtype=np.uint8)
+        bytes_of = np.diff(np.r_[0, block.ends])
+        edge = np.zeros(len(text) + 1, dtype=bool)
+        edge[block.ends] = edge[0] = True
+        word = ~_SPACE[text]
+        first = np.flatnonzero(word & (edge[:-1] | ~np.r_[False, word[:-1]]))
+        stop = np.flatnonzero(word & (edge[1:] | ~np.r_[word[1:], False])) + 1
+        self.doc = np.searchsorted(block.ends, first, side="right")
+        self.n = len(first)
+        self.sizes = np.bincount(self.doc, minlength=len(bytes_of)).astype(np.int64)
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
-        self.n = int(self.ends[-1])
         # documents without an id come after all that have one
         self.order = np.where(block.named, block.ids, np.iinfo(np.int64).max)
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        prefix = _rolling(_CODE[text])
+        self.undo = _powers(len(text) + 1)[1]
         with np.errstate(over="ignore"):
-            power = np.cumprod(np.full(self.n + 1, _ODD))
-            self.undo = np.cumprod(np.full(self.n + 1, np.uint64(pow(int(_ODD), -1, 1 << 64))))
-            self.prefix = np.r_[np.uint64(0), np.cumsum(_codes([w for p in self.parts for w in p]) * power[: self.n], dtype=np.uint64)]
+            codes = (prefix[stop] - prefix[first]) * self.undo[first] + (stop - first).astype(np.uint64)
+        self.prefix = _rolling(_mixed(codes))
 
     def windows(self, at: np.ndarray, length: int) -> np.ndarray:
         """Hashes of the ``length`` words from each of ``at``."""
         with np.errstate(over="ignore"):
-            h = (self.prefix[at + length] - self.prefix[at]) * self.undo[at]
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(29)
-        return h
+            return _mixed((self.prefix[at + length] - self.prefix[at]) * self.undo[at])
 
     def anchors(self, window: int) -> tuple[np.ndarray, np.ndarray]:
         """Cover positions of documents that have a window, and their hashes.
@@ -112,7 +135,7 @@ def _settle_first(asked: list[bytes]) -> list[bytes]:
     for a in asked:
         n, base, width = struct.unpack_from("<qqq", a)
         sizes.append(n)
-        keys.append(np.frombuffer(a, "<u8", n, 24))
+        keys.append(from_planes(a, n, 24))
         orders.append(np.frombuffer(a, f"<u{width}", n, 24 + 8 * n).astype(np.uint64).astype(np.int64) + base)
     k, o = np.concatenate(keys), np.concatenate(orders)
     _, low, _, place = _by_key(k, o)
@@ -159,7 +182,7 @@ def _emit_windows(buckets: int, window: int) -> Callable[[dict], Iterator[tuple[
             base = int(low[a:b].min())
             span = int(low[a:b].max()) - base
             width = 4 if span < 1 << 32 else 8
-            yield k, struct.pack("<qqq", b - a, base, width) + keys[a:b].astype("<u8").tobytes() + (low[a:b].astype(np.uint64) - np.uint64(base & (1 << 64) - 1)).astype(f"<u{width}").tobytes()
+            yield k, struct.pack("<qqq", b - a, base, width) + planes(keys[a:b]) + (low[a:b].astype(np.uint64) - np.uint64(base & (1 << 64) - 1)).astype(f"<u{width}").tobytes()
 
     return emit
 
@@ -206,10 +229,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
                 words = Words(block)
                 gone = _removed(words, row, window)
                 texts = block.texts()
-                for i, (part, a) in enumerate(zip(words.parts, words.starts.tolist(), strict=True)):
-                    g = gone[a : a + len(part)]
+                for i, (a, n) in enumerate(zip(words.starts.tolist(), words.sizes.tolist(), strict=True)):
+                    g = gone[a : a + n]
                     if g.any():
-                        texts[i] = b" ".join([w for w, x in zip(part, g.tolist(), strict=True) if not x])
+                        texts[i] = b" ".join([w for w, x in zip(texts[i].split(), g.tolist(), strict=True) if not x])
                 rest = carried(row["rest"])
                 columns = [pa.chunked_array([pa.array(texts, pa.binary()).cast(pa.string())]) if c == text else rest.column(c) for c in names]
                 yield from pa.Table.from_arrays(columns, names).combine_chunks().to_batches()
@@ -245,7 +268,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: s
                 total = np.r_[0, np.cumsum(gone)]
                 counts = (total[words.ends] - total[words.starts]).tolist()
                 kept = []
-                for part, a, n in zip(words.parts, words.starts.tolist(), counts, strict=True):
+                for t, a, n in zip(block.texts(), words.starts.tolist(), counts, strict=True):
+                    part = t.split()
                     if n:
                         part = [w for w, g in zip(part, gone[a : a + len(part)].tolist(), strict=True) if not g]
                     kept.append(b" ".join(part))
