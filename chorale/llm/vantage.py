@@ -19,6 +19,11 @@ LEAF = 128
 _D, _C = 1e-6, 1e-12
 
 
+def _summed(x: np.ndarray) -> np.ndarray:
+    """Row sums, added from left to right whatever the shape."""
+    return np.cumsum(x, axis=1)[:, -1]
+
+
 class Tree:
     """A vantage-point tree over unit vectors, its leaves runs of one array.
 
@@ -30,7 +35,7 @@ class Tree:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.raw = ids[order], vectors[order]
-        self.norm = np.sqrt((self.raw * self.raw).sum(axis=1))
+        self.norm = np.sqrt(_summed(self.raw * self.raw))
         self.unit = self.raw / self.norm[:, None]
         self.points: list[np.ndarray] = []
         self.bounds: list[tuple[int, int, int, float, float]] = []  # a half: its node, start, end, nearest, farthest
@@ -62,7 +67,7 @@ class Tree:
         A leaf is left out for a query if its bound times ``factor`` is beyond
         the k-th distance so far: 1 is exact, more is faster and may miss.
         """
-        norm = np.sqrt((queries * queries).sum(axis=1))
+        norm = np.sqrt(_summed(queries * queries))
         unit = queries / norm[:, None]
         low = np.zeros((len(queries), len(self.leaves)))
         if self.points:
@@ -86,7 +91,7 @@ class Tree:
                 own = own[self.ids[own] != ids[at]]
                 if not len(own):
                     continue
-                score = (self.raw[own] * queries[at]).sum(axis=1) / (self.norm[own] * norm[at])
+                score = _summed(self.raw[own] * queries[at]) / (self.norm[own] * norm[at])
                 found = best[at] + [(-s, i) for s, i in zip(score.tolist(), self.ids[own].tolist(), strict=True)]
                 found.sort()
                 best[at] = found[:k]
