@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -244,19 +245,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
     if benchmark.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0] <= PASS_BYTES:
         return _clean(docs, next(_chunks(benchmark, "item_id", "text", PASS_BYTES)), n, share, text)
     leaks = find_leaks(docs, benchmark, n, doc_id, text).where(F.size("spans") > 0).select("doc_id", "key", "n_words", "spans").dropDuplicates(["doc_id", "key"])
-    a = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    hit = F.expr("aggregate(sequence(0, size(__s) div 2 - 1), 0L, (s, i) -> s + __s[2 * i + 1] - __s[2 * i])")
+    # the row is one column, so that no name of it can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    whole = F.coalesce(F.col("row")[text].cast("string"), F.lit(""))
+    joined = rows.join(leaks, (F.xxhash64(whole) == F.col("key")) & F.col("row")[doc_id].eqNullSafe(F.col("doc_id")), "left")
+    hit = F.expr("aggregate(sequence(0, size(spans) div 2 - 1), 0L, (s, i) -> s + spans[2 * i + 1] - spans[2 * i])")
+    clean = joined.where("spans is null").select("row.*")
+    mended = joined.where(F.col("spans").isNotNull() & (share * hit < F.col("n_words")))
     cut = F.pandas_udf(_cut_series, "string")
-    b = leaks.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), F.col("n_words").alias("__n"), F.col("spans").alias("__s"))
-    joined = a.join(b, (a["__key"] == b["__k"]) & a[doc_id].eqNullSafe(b["__id"]), "left")
-    kept = joined.where(F.col("__s").isNull() | (share * hit < F.col("__n")))
-    clean = kept.where(F.col("__s").isNull()).select(*docs.columns)
-    mended = kept.where(F.col("__s").isNotNull()).withColumn(text, cut(F.col(text), F.col("__s"))).select(*docs.columns)
-    return clean.unionByName(mended)
+    return clean.unionByName(mended.select(*[cut(whole, F.col("spans")).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns]))
 
 
-def _cut_series(texts, spans):
-    import pandas as pd
-
+def _cut_series(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([cut_words(t.encode(), list(s)).decode() for t, s in zip(texts, spans, strict=True)], dtype=object)
 
