@@ -45,16 +45,16 @@ def bootstrap_draws(s, d):
     return resample.resampled(x, n, REPS).select("rep", "pos", R("x").alias("x"))
 
 
-@query(f"WITH {_VEC} SELECT rep, round(avg(x), 6) + 0.0 AS th FROM rs GROUP BY rep")
+@query(f"WITH {_VEC} SELECT rep, round(avg(x), 9) + 0.0 AS th FROM rs GROUP BY rep")
 def bootstrap_mean(s, d):
     x, n = _vector(s, d)
-    return resample.resampled(x, n, REPS).groupBy("rep").agg(R(F.avg("x")).alias("th"))
+    return resample.resampled(x, n, REPS).groupBy("rep").agg(R(F.avg("x"), 9).alias("th"))
 
 
-@query(f"WITH {_VEC}, th AS (SELECT rep, avg(x) AS th FROM rs GROUP BY rep) SELECT round((SELECT avg(x) FROM vec), 6) + 0.0 AS theta, round(avg(th), 6) + 0.0 AS mean, round(quantile_cont(th, 0.025), 6) + 0.0 AS lo, round(quantile_cont(th, 0.975), 6) + 0.0 AS hi FROM th")
+@query(f"WITH {_VEC}, th AS (SELECT rep, avg(x) AS th FROM rs GROUP BY rep) SELECT round((SELECT avg(x) FROM vec), 9) + 0.0 AS theta, round(avg(th), 9) + 0.0 AS mean, round(quantile_cont(th, 0.025), 9) + 0.0 AS lo, round(quantile_cont(th, 0.975), 9) + 0.0 AS hi FROM th")
 def bootstrap_ci(s, d):
     x, n = _vector(s, d)
-    return resample.estimate(x, n, REPS, F.avg("x")).select(*[R(c).alias(c) for c in ("theta", "mean", "lo", "hi")])
+    return resample.estimate(x, n, REPS, F.avg("x")).select(*[R(c, 9).alias(c) for c in ("theta", "mean", "lo", "hi")])
 
 
 @query(f"WITH {_VEC}, th AS (SELECT rep, stddev_pop(x) AS th FROM rs GROUP BY rep) SELECT round((SELECT stddev_pop(x) FROM vec), 6) + 0.0 AS theta, round(avg(th), 6) + 0.0 AS mean, round(stddev_pop(th), 6) + 0.0 AS se FROM th")

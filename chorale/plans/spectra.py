@@ -62,9 +62,9 @@ def freq_grid(s, d):
     return s.range(N // 2 + 1).select(F.col("id").alias("k"), R(F.col("id") * 0.5 / (N // 2), 9).alias("freq"))
 
 
-@query(f"WITH {SAMPLES} SELECT chan, t, round(x - avg(x) OVER (PARTITION BY chan), 6) + 0.0 AS x FROM samples")
+@query(f"WITH {SAMPLES} SELECT chan, t, round(x - avg(x) OVER (PARTITION BY chan), 9) + 0.0 AS x FROM samples")
 def detrend_const(s, d):
-    return spectral.detrend(tables.samples(s, d), ["chan"]).select("chan", "t", R("x").alias("x"))
+    return spectral.detrend(tables.samples(s, d), ["chan"]).select("chan", "t", R("x", 9).alias("x"))
 
 
 @query(f"WITH {SAMPLES}, f AS (SELECT chan, regr_slope(x, t) m, regr_intercept(x, t) c FROM samples GROUP BY chan) SELECT chan, t, round(x - m * t - c, 6) + 0.0 AS x FROM samples JOIN f USING (chan)")

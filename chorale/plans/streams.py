@@ -27,10 +27,10 @@ def sliding_rms_stream(s, d):
     return out.select("chan", _us("start").alias("start"), R("rms").alias("rms"), "n")
 
 
-@query("SELECT epoch_us(TIMESTAMP '2024-01-01') + 21600000000 * ((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 21600000000) AS start, round(avg(value), 6) + 0.0 AS car, count(value) AS n FROM events GROUP BY ALL")
+@query("SELECT epoch_us(TIMESTAMP '2024-01-01') + 21600000000 * ((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 21600000000) AS start, round(avg(value), 9) + 0.0 AS car, count(value) AS n FROM events GROUP BY ALL")
 def car_stream(s, d):
     out = blocks.finished(blocks.average_reference(blocks.event_stream(s, d)))
-    return out.select(_us("start").alias("start"), R("car").alias("car"), "n")
+    return out.select(_us("start").alias("start"), R("car", 9).alias("car"), "n")
 
 
 @query("WITH o AS (SELECT event_type, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 1800000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)), g AS (SELECT event_type, ts, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT event_type AS chan, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 1800000000 AS \"end\", count(*) AS n FROM g GROUP BY event_type, k")

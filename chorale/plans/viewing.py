@@ -53,9 +53,9 @@ def decimate(s, d):
     return tables.samples(s, d).where("t % 4 = 0").select("chan", F.floor(F.col("t") / 4).alias("t"), R("x").alias("x"))
 
 
-@query(f"WITH {SAMPLES} SELECT chan, t, round(x - avg(x) OVER (PARTITION BY t), 6) + 0.0 AS x FROM samples")
+@query(f"WITH {SAMPLES} SELECT chan, t, round(x - avg(x) OVER (PARTITION BY t), 9) + 0.0 AS x FROM samples")
 def car(s, d):
-    return views.common_average(tables.samples(s, d)).select("chan", "t", R("x").alias("x"))
+    return views.common_average(tables.samples(s, d)).select("chan", "t", R("x", 9).alias("x"))
 
 
 @query(f"WITH {_STIM} SELECT trial, t FROM stim WHERE t >= 30 AND t < 60")
@@ -156,9 +156,9 @@ def mosaic(s, d):
     return at.select("k", F.floor(F.col("p") / w).cast("int").alias("row"), (F.col("p") % w).cast("int").alias("col"))
 
 
-@query(f"WITH {_EP} SELECT chan, t, round(avg(x), 6) + 0.0 AS m, round(quantile_cont(x, 0.15), 6) + 0.0 AS lo, round(quantile_cont(x, 0.85), 6) + 0.0 AS hi, round(stddev_pop(x) / sqrt(count(x)), 6) + 0.0 AS sem FROM ep GROUP BY ALL")
+@query(f"WITH {_EP} SELECT chan, t, round(avg(x), 9) + 0.0 AS m, round(quantile_cont(x, 0.15), 6) + 0.0 AS lo, round(quantile_cont(x, 0.85), 6) + 0.0 AS hi, round(stddev_pop(x) / sqrt(count(x)), 6) + 0.0 AS sem FROM ep GROUP BY ALL")
 def trial_band(s, d):
-    return _epochs(s, d).groupBy("chan", "t").agg(R(F.avg("x")).alias("m"), R(quantile("x", 0.15)).alias("lo"), R(quantile("x", 0.85)).alias("hi"), R(F.stddev_pop("x") / F.sqrt(F.count("x"))).alias("sem"))
+    return _epochs(s, d).groupBy("chan", "t").agg(R(F.avg("x"), 9).alias("m"), R(quantile("x", 0.15)).alias("lo"), R(quantile("x", 0.85)).alias("hi"), R(F.stddev_pop("x") / F.sqrt(F.count("x"))).alias("sem"))
 
 
 @query(f"WITH {SAMPLES} SELECT chan, t, round(sum(x) OVER w, 6) + 0.0 AS s, round(sqrt((row_number() OVER (PARTITION BY chan ORDER BY t) - 1) / 119.0), 6) + 0.0 AS ramp FROM samples WINDOW w AS (PARTITION BY chan ORDER BY t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")
