@@ -20,8 +20,9 @@ SAMPLE = 10_000
 WORD_PRIOR, STEM_PRIOR = 2.0, 8.0
 #: Leading bytes that make a stem.
 STEM = 5
-#: Standard errors by which a token's log-odds must stand out.
-ERRORS = 1.5
+#: Standard errors taken off a token's log-odds, and what must be left for it to count:
+#: of very many words some are toxic by chance, each a little.
+ERRORS, LEAST = 1.5, 1.5
 #: What each token costs, so that a passage has to earn its length.
 DRIFT = 0.15
 #: Evidence, in nats over chance, from which a passage is significant.
@@ -89,9 +90,10 @@ class Model:
         return math.log(p / (1 - p))
 
     def _sure(self, p: float, base: float, n: float) -> float:
-        """Log-odds over the base rate that are sure at ``ERRORS`` standard errors, else 0."""
+        """Log-odds over the base rate less ``ERRORS`` standard errors, 0 if under ``LEAST``."""
         odds = self._odds(p) - self._odds(base)
-        return max(0.0, odds - ERRORS * math.sqrt(1 / (n * p) + 1 / (n * (1 - p))))
+        odds -= ERRORS * math.sqrt(1 / max(n * p, 0.5) + 1 / max(n * (1 - p), 0.5))
+        return odds if odds >= LEAST else 0.0
 
     def token(self, word: bytes) -> float:
         got = self.word.get(word)
@@ -159,13 +161,21 @@ class Model:
         w = np.array([r[3] for r in rows])
         w = w / w.mean()
         a = np.stack([np.ones_like(e), e], axis=1)
-        beta = np.array([-3.0, 0.5])
-        for _ in range(50):
+        ridge = np.array([1e-4, 1e-3]) * len(e)
+
+        def loss(beta: np.ndarray) -> float:
+            z = a @ beta
+            return float((w * (np.logaddexp(0, z) - y * z)).sum() + (ridge * beta * beta).sum() / 2)
+
+        beta, now = np.array([-3.0, 0.5]), math.inf
+        for _ in range(100):  # Newton's steps, halved until they help
             mu = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-            grad = a.T @ (w * (y - mu)) - np.array([0.0, 0.1]) * beta
-            hess = (a * (w * mu * (1 - mu))[:, None]).T @ a + np.diag([1e-3, 0.1])
-            step = np.linalg.solve(hess, grad)
-            beta = beta + np.clip(step, -2, 2)
+            hess = (a * (w * mu * (1 - mu))[:, None]).T @ a + np.diag(ridge)
+            step = np.linalg.solve(hess, a.T @ (w * (y - mu)) - ridge * beta)
+            before = now if now < math.inf else loss(beta)
+            while (now := loss(beta + step)) > before and abs(step).max() > 1e-9:
+                step = step / 2
+            beta = beta + step
             if abs(step).max() < 1e-8:
                 break
         self.weights = (float(beta[0]), max(0.0, float(beta[1])))
