@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from chorale.llm.common import cut, keyed_texts, map_arrow, slices
 
 #: Bytes of text of a block, unless one text is longer.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 @dataclass

@@ -31,7 +31,7 @@ _POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2 ** 64."""
     if len(_POWERS[0]) < n:
-        m = max(n, 2 * len(_POWERS[0]))
+        m = -(-n // (1 << 18)) << 18
         with np.errstate(over="ignore"):
             _POWERS[:] = [np.r_[np.uint64(1), np.cumprod(np.full(m, np.uint64(x)))] for x in (_ODD, pow(_ODD, -1, 1 << 64))]
     return _POWERS[0], _POWERS[1]

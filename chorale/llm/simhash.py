@@ -76,9 +76,11 @@ def _code() -> tuple[np.ndarray, list[np.ndarray]]:
     anchor[wrong] ^= 1 << (syndrome[wrong] - 1)
     is_anchor = syndrome == 0
     flips = [0, *(1 << i for i in range(16)), *((1 << i) | (1 << j) for i in range(16) for j in range(i))]
-    near = [values[:, None] ^ np.array(flips)]
-    hit = is_anchor[near[0]]
-    return anchor, [row[h] for row, h in zip(near[0], hit, strict=True)]
+    near = []
+    for part in np.split(values, 16):
+        rows = part[:, None] ^ np.array(flips)
+        near += [row[h] for row, h in zip(rows, is_anchor[rows], strict=True)]
+    return anchor, near
 
 
 #: Parts of the 48 bits outside a block (low bit, width): 4 for three differing bits at most, 5 for four.

@@ -72,7 +72,7 @@ class TrieEncoder:
         got = self.apart.get(key)
         if got is not None:
             return got
-        if len(self.apart) > 2_000_000:
+        if len(self.apart) > 300_000:
             self.apart.clear()
         rank, split, pairs = self.bpe.rank, self.bpe.split, self.bpe.pair_rank
         limit_left = limit_right = 1 << 40
