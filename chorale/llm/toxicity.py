@@ -181,6 +181,25 @@ class Model:
         self.weights = (float(beta[0]), max(0.0, float(beta[1])))
 
 
+class _Tokens(dict):
+    """Token scores of words met so far; a memo of bounded size."""
+
+    def __init__(self, model: Model, most: int = 300_000):
+        super().__init__()
+        self.model, self.most = model, most
+
+    def __missing__(self, word: bytes) -> float:
+        got = self[word] = self.model.token(word)
+        return got
+
+    def split(self, texts: list[bytes | None]) -> Iterator[list[bytes]]:
+        """Folded words of each text."""
+        if len(self) > self.most:
+            self.clear()
+        for t in texts:
+            yield (t or b"").translate(FOLD).split()
+
+
 def _sample(labels: DataFrame, doc_id: str, toxic: str, per_class: int) -> tuple[DataFrame, dict[int, float]]:
     """Up to ``per_class`` training rows of each class, and each one's weight."""
     rows = labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
@@ -265,11 +284,11 @@ def drop_toxic(docs: DataFrame, model: Model, at: float = 0.7, text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        memo = _Tokens(m)
         for batch, texts in slices(batches, text):
             keep = []
-            for t in texts:
-                words = (t or b"").translate(FOLD).split()
-                s = m.scores(words, [m.token(w) for w in words])
+            for words in memo.split(texts):
+                s = m.scores(words, list(map(memo.__getitem__, words)))
                 keep.append(m.score(m.evidence(m.best(s), len(s))) < at)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
@@ -289,18 +308,11 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        memo: dict[bytes, float] = {}
+        memo = _Tokens(m)
         for batch, texts in slices(batches):
             scores, passages = [], []
-            parts = [t.translate(FOLD).split() for t in texts]
-            if len(memo) > 300_000:
-                memo.clear()
-            for w in set().union(*parts):
-                if w not in memo:
-                    memo[w] = m.token(w)
-            get = memo.__getitem__
-            for words in parts:
-                s = m.scores(words, list(map(get, words)))
+            for words in memo.split(texts):
+                s = m.scores(words, list(map(memo.__getitem__, words)))
                 e = m.evidence(m.best(s), len(s))
                 scores.append(m.score(e))
                 if e < SIGNIFICANT:
