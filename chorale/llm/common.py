@@ -58,9 +58,19 @@ def keyed_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+#: Bytes of an Arrow batch, about; a row larger than that is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow with this package importable on the executors."""
-    workers_import(df.sparkSession)
+    """mapInArrow with this package importable on the executors.
+
+    Batches are bounded in bytes, by the session's setting, as texts are of
+    very different lengths; both sides of the pipe hold whole batches.
+    """
+    spark = df.sparkSession
+    workers_import(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 

@@ -11,7 +11,7 @@ from chorale.llm import wordbpe
 from chorale.llm.common import keyed_texts, map_arrow, slices
 
 #: Distinct words whose counts a Python worker remembers; a memo only.
-MEMO = 300_000
+MEMO = 200_000
 
 _memo: dict[str, tuple[wordbpe.Memo, wordbpe.Memo]] = {}
 

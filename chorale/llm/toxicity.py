@@ -184,7 +184,7 @@ class Model:
 class _Tokens(dict):
     """Token scores of words met so far; a memo of bounded size."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 150_000):
         super().__init__()
         self.model, self.most = model, most
 

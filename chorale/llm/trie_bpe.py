@@ -15,7 +15,7 @@ from chorale.llm import wordbpe
 from chorale.llm.common import keyed_texts, map_arrow, slices
 
 #: Distinct words whose encodings a Python worker remembers; a memo only.
-MEMO = 200_000
+MEMO = 120_000
 
 _memo: dict[str, wordbpe.Memo] = {}
 
@@ -226,6 +226,8 @@ def digests(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id
             if with_ids:
                 out["ids"] = _lists(ids)
             yield pa.RecordBatch.from_pydict(out)
+        if path in _memo:
+            _memo[path].close()
 
     rows = keyed_texts(docs, doc_id, text)
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -179,6 +179,10 @@ class Memo(dict):
         self.update(zip(keys[:room], values[:room], strict=True))
         self.slice = dict(zip(keys[room:], values[room:], strict=True))
 
+    def close(self) -> None:
+        """Let go of the last slice's keys."""
+        self.slice = {}
+
 
 @lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
