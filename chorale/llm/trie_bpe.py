@@ -15,7 +15,7 @@ from chorale.llm import wordbpe
 from chorale.llm.common import keyed_texts, map_arrow, slices
 
 #: Distinct words whose encodings a Python worker remembers; a memo only.
-MEMO = 120_000
+MEMO = 200_000
 
 _memo: dict[str, wordbpe.Memo] = {}
 
