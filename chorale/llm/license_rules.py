@@ -190,8 +190,8 @@ PLAIN = r"""
 4 | licensed | 0.4 | licensed under | (?:is )?licensed under (?:the )?(?:\w+ ){0,3}licen[cs]e
 4 | licensed | 0.4 | released under | (?:is )?released under (?:the )?(?:\w+ ){0,3}licen[cs]e
 4 | licensed | 0.4 | distributed under | (?:is )?distributed under (?:the )?(?:terms of (?:the )?)?(?:\w+ ){0,3}licen[cs]e
-4 | licensed | 0.3 | see the license | see the licen[cs]e (?:file )?for (?:more )?(?:details|information)
-4 | licensed | 0.3 | license file | licen[cs]e file
+4 | licensed | 0.3 | see the licen | see the licen[cs]e (?:file )?for (?:more )?(?:details|information)
+4 | licensed | 0.3 | licen | licen[cs]e file
 4 | open-source | 0.3 | open source | open source licen[cs]e
 4 | copyright | 0.3 | copyright | copyright (?:c )?(?:19|20)\d\d
 """
@@ -216,4 +216,4 @@ def rules() -> list[tuple[int, str, float, str, str]]:
 
 
 #: Words of which each keyword holds one; texts without any have no detection.
-ROOTS = ("licen", "copy", "domain", "spdx", "gpl", "cc by", "cc0", "commons", "redistribution", "permission", "reserved", "proprietary", "unauthorized", "commercial", "wtfpl", "unencumbered", "endorse", "advertising", "altered source", "as is without", "waived", "rail", "freebsd", " bsd", "mulan")
+ROOTS = ("licen", "copy", "domain", "spdx", "gpl", "cc by", "cc0", "commons", "redistribution", "permission", "reserved", "proprietary", "unauthorized", "commercial", "wtfpl", "unencumbered", "endorse", "advertising", "altered source", "as is without", "waived", "rail", "freebsd", " bsd", "mulan", "no attribution")
