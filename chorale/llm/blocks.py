@@ -20,10 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorale.llm.common import cut, keyed_texts, map_arrow, slices
+from chorale.llm.common import cut, keyed_texts, map_arrow, named, slices
 
-#: Bytes of text of a block, unless one text is longer.
+#: Bytes of text of a block, unless one text is longer; up to :data:`LARGE` of text.
 BLOCK_BYTES = 2 << 20
+#: Bytes of text from which blocks and buckets grow, both with the root of the
+#: total, up to :data:`GROWTH` times.  So blocks times buckets grows with the
+#: total, not with its square; messages never outnumber the hashes they hold.
+LARGE, GROWTH = 64 << 30, 8
+
+
+def growth(total: int) -> float:
+    """How many times their usual size blocks and buckets have for ``total`` bytes of text."""
+    return min(GROWTH, max(1.0, (total / LARGE) ** 0.5))
 
 
 @dataclass
@@ -53,15 +62,18 @@ def unpack(payload: bytes) -> Block:
     return Block(ids, named, np.cumsum(sizes), raw[8 + 17 * n :])
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
-    """block_id, n_docs, n_bytes and payload, written to the checkpoint folder.
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> tuple[DataFrame, int]:
+    """block_id, n_docs, n_bytes and payload, in the checkpoint folder, and the bytes of all text.
 
-    With ``carry``, all columns of ``docs`` but the text go along in ``rest``.
+    With ``carry``, all columns of ``docs`` but the text go along in ``rest``,
+    and whether a text was null.
     """
     rows = keyed_texts(docs, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("long"))
     if carry:
-        rest = F.struct(*[docs[c] for c in docs.columns if c != text])
-        rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
+        rest = F.struct(*[named(c) for c in docs.columns if c != text])
+        rows = docs.select(named(doc_id).cast("long").alias("doc_id"), F.coalesce(named(text).cast("string"), F.lit("")).alias("text"), rest.alias("rest"), named(text).isNull().alias("missing"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    most = int(BLOCK_BYTES * growth(total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -90,9 +102,9 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: boo
                 out["rest"] = pa.array([press.compress(sink.getvalue().to_pybytes())], pa.binary())
             return pa.RecordBatch.from_pydict(out)
 
-        for batch, part in slices(batches, most=BLOCK_BYTES):
+        for batch, part in slices(batches, most=most):
             more = sum(map(len, part))
-            if held and size + more > BLOCK_BYTES:
+            if held and size + more > most:
                 yield flush()
                 held, size = [], 0
             held.append((batch, part))
@@ -100,15 +112,15 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: boo
         if held:
             yield flush()
 
-    return cut(map_arrow(rows, run, "block_id long, n_docs long, n_bytes long, payload binary" + ", rest binary" * carry))
+    return cut(map_arrow(rows, run, "block_id long, n_docs long, n_bytes long, payload binary" + ", rest binary" * carry)), total
 
 
-def carried(rest: bytes) -> pa.Table:
-    """The columns that went along with a block, in order of its texts."""
+def carried(rest: bytes) -> tuple[pa.Table, list[bool]]:
+    """The columns that went along with a block, and whether each text was null, in order of its texts."""
     import zstandard
 
     table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rest)).read_all()
-    return pa.Table.from_struct_array(table.column("rest"))
+    return pa.Table.from_struct_array(table.column("rest")), table.column("missing").to_pylist()
 
 
 class Buckets:
@@ -191,6 +203,39 @@ def from_planes(data: bytes, n: int, offset: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, offset).reshape(8, n).T).view("<u8").ravel()
 
 
+def digests(text: bytes, first: np.ndarray, stop: np.ndarray, salt: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of ``text`` between each ``first`` and ``stop``, as two halves.
+
+    They are BLAKE2b under a salt that each run draws anew, so that no text can
+    have been made to clash: of 10^12 strings two are confused with a chance
+    below 10^-14.
+    """
+    from hashlib import blake2b
+
+    got = b"".join([blake2b(text[a:b], digest_size=16, salt=salt).digest() for a, b in zip(first.tolist(), stop.tolist(), strict=True)])
+    halves = np.frombuffer(got, "<u8").reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()
+
+
+def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts by the keys, the first foremost, and where each run of equal ones starts in it."""
+    by = np.lexsort(keys[::-1])
+    new = np.zeros(len(by), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        k = k[by]
+        new[1:] |= k[1:] != k[:-1]
+    return by, np.flatnonzero(new)
+
+
+def ranges(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` positions lie in one of the ranges, ends included."""
+    mark = np.zeros(n + 1, dtype=np.int32)
+    np.add.at(mark, first, 1)
+    np.add.at(mark, last + 1, -1)
+    return np.cumsum(mark[:-1]) > 0
+
+
 def as_bits(flags: np.ndarray) -> bytes:
     """A row of flags for each key, packed, after their number."""
     return struct.pack("<q", len(flags)) + np.packbits(flags).tobytes()

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -31,12 +31,16 @@ def workers_import(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset, as
-    in tests, a temporary one is set.
+    It is the session's ``spark.checkpoint.dir``.  Where that is unset, a local
+    master, as in tests, gets a temporary one; on a cluster it is an error, as
+    executors would write where others cannot read.
     """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -53,9 +57,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def named(column: str) -> Column:
+    """The top-level column of that very name, whatever signs it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def keyed_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns doc_id and text (null: empty), whatever else ``docs`` has."""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return docs.select(named(doc_id).alias("doc_id"), F.coalesce(named(text).cast("string"), F.lit("")).alias("text"))
 
 
 #: Bytes of an Arrow batch, about; a row larger than that is a batch of its own.

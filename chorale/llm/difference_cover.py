@@ -1,17 +1,22 @@
-"""Substring dedup on words, with difference-cover anchors."""
+"""Substring dedup on words, with difference-cover anchors.
+
+Runs of 20 words are hashed at cover positions only.  Hashes that several
+documents share are the anchors; each is extended to the whole windows that
+hold it, and windows are compared by 128-bit digests of their words.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from chorale.llm.blocks import Block, Buckets, ask, bits, carried, from_planes, pack, planes, split, unpack
+from chorale.llm.blocks import Block, Buckets, ask, bits, carried, digests, from_planes, growth, pack, planes, runs, split, unpack
 from chorale.llm.common import cut, map_arrow
 
 #: A perfect difference set: every difference modulo 31 is one of two of its members.
@@ -70,6 +75,7 @@ class Words:
         first = np.flatnonzero(word & (edge[:-1] | ~np.r_[False, word[:-1]]))
         stop = np.flatnonzero(word & (edge[1:] | ~np.r_[word[1:], False])) + 1
         self.doc = np.searchsorted(block.ends, first, side="right")
+        self.block, self.lengths = block, stop - first
         self.n = len(first)
         self.sizes = np.bincount(self.doc, minlength=len(bytes_of)).astype(np.int64)
         self.ends = np.cumsum(self.sizes)
@@ -82,11 +88,28 @@ class Words:
             codes = (prefix[stop] - prefix[first]) * self.undo[first] + (stop - first).astype(np.uint64)
         self.prefix = _rolling(_mixed(codes))
 
-    def windows(self, at: np.ndarray, length: int) -> np.ndarray:
-        """Hashes of the ``length`` words from each of ``at``."""
+    def runs_of(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of the ``length`` words from each of ``at``; unlike runs may have one hash."""
         with np.errstate(over="ignore"):
             return _mixed((self.prefix[at + length] - self.prefix[at]) * self.undo[at])
 
+    def windows(self, at: np.ndarray, length: int, salt: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Digests, as two halves, of the ``length`` words from each of ``at``, joined by a space."""
+        high, low = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
+        doc = self.doc[at]
+        cuts = np.flatnonzero(np.diff(doc)) + 1
+        before = self.block.ends - np.diff(np.r_[0, self.block.ends])
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
+            if a == b:
+                continue
+            d = int(doc[a])
+            start = int(self.starts[d])
+            text = b" ".join(self.block.text[before[d] : self.block.ends[d]].split())
+            stop = np.cumsum(self.lengths[start : int(self.ends[d])] + 1) - 1
+            own = at[a:b] - start
+            high[a:b], low[a:b] = digests(text, np.r_[0, stop + 1][own], stop[own + length - 1], salt)
+        return high, low
+
     def anchors(self, window: int) -> tuple[np.ndarray, np.ndarray]:
         """Cover positions of documents that have a window, and their hashes.
 
@@ -99,7 +122,7 @@ class Words:
         cover = np.zeros(PERIOD, dtype=bool)
         cover[list(COVER)] = True
         at = np.flatnonzero(cover[inside % PERIOD] & (inside + length <= self.sizes[self.doc]) & (self.sizes[self.doc] >= window))
-        return at, self.windows(at, length)
+        return at, self.runs_of(at, length)
 
 
 def _by_key(keys: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,17 +152,35 @@ def _settle_shared(asked: list[bytes]) -> list[bytes]:
     return split(out, sizes)
 
 
+class Windows:
+    """Candidate windows of a block: distinct digests, sorted, and the smallest order of each."""
+
+    def __init__(self, words: Words, answers: list[dict] | None, window: int, salt: bytes):
+        self.at = _candidates(words, answers, window)
+        self.own = words.order[words.doc[self.at]]
+        high, low = words.windows(self.at, window, salt)
+        by, new = runs(high, low)
+        self.high, self.low = high[by][new], low[by][new]
+        self.least = np.minimum.reduceat(self.own[by], new) if len(new) else self.own
+        self.place = np.empty(len(by), dtype=np.int64)
+        self.place[by] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(by)]))
+
+
 def _settle_first(asked: list[bytes]) -> list[bytes]:
     """For each window: does a document of another block, of a smaller id, have it?"""
-    sizes, keys, orders = [], [], []
+    sizes, highs, lows, orders = [], [], [], []
     for a in asked:
         n, base, width = struct.unpack_from("<qqq", a)
         sizes.append(n)
-        keys.append(from_planes(a, n, 24))
-        orders.append(np.frombuffer(a, f"<u{width}", n, 24 + 8 * n).astype(np.uint64).astype(np.int64) + base)
-    k, o = np.concatenate(keys), np.concatenate(orders)
-    _, low, _, place = _by_key(k, o)
-    return split(low[place] < o, sizes)
+        highs.append(from_planes(a, n, 24))
+        lows.append(np.frombuffer(a, "<u8", n, 24 + 8 * n))
+        orders.append(np.frombuffer(a, f"<u{width}", n, 24 + 16 * n).astype(np.uint64).astype(np.int64) + base)
+    order = np.concatenate(orders)
+    by, new = runs(np.concatenate(highs), np.concatenate(lows))
+    least = np.repeat(np.minimum.reduceat(order[by], new), np.diff(np.r_[new, len(by)]))
+    out = np.empty(len(by), dtype=bool)
+    out[by] = least < order[by]
+    return split(out, sizes)
 
 
 def _emit_anchors(buckets: int, window: int) -> Callable[[dict], Iterator[tuple[int, bytes]]]:
@@ -171,55 +212,54 @@ def _candidates(words: Words, answers: list[dict] | None, window: int) -> np.nda
     return np.flatnonzero(holds & (starts + window <= words.ends[words.doc]))
 
 
-def _emit_windows(buckets: int, window: int) -> Callable[[dict], Iterator[tuple[int, bytes]]]:
+def _emit_windows(buckets: int, window: int, salt: bytes) -> Callable[[dict], Iterator[tuple[int, bytes]]]:
     ranges = Buckets(buckets)
 
     def emit(row: dict) -> Iterator[tuple[int, bytes]]:
-        words = Words(unpack(row["payload"]))
-        at = _candidates(words, row["answers"], window)
-        keys, low, _, _ = _by_key(words.windows(at, window), words.order[words.doc[at]])
-        for k, a, b in ranges.slices(keys):
-            base = int(low[a:b].min())
-            span = int(low[a:b].max()) - base
+        w = Windows(Words(unpack(row["payload"])), row["answers"], window, salt)
+        for k, a, b in ranges.slices(w.high):
+            base = int(w.least[a:b].min())
+            span = int(w.least[a:b].max()) - base
             width = 4 if span < 1 << 32 else 8
-            yield k, struct.pack("<qqq", b - a, base, width) + planes(keys[a:b]) + (low[a:b].astype(np.uint64) - np.uint64(base & (1 << 64) - 1)).astype(f"<u{width}").tobytes()
+            order = (w.least[a:b].astype(np.uint64) - np.uint64(base & (1 << 64) - 1)).astype(f"<u{width}")
+            yield k, struct.pack("<qqq", b - a, base, width) + planes(w.high[a:b]) + w.low[a:b].tobytes() + order.tobytes()
 
     return emit
 
 
-def _removed(words: Words, row: dict, window: int) -> np.ndarray:
+def _removed(words: Words, row: dict, window: int, salt: bytes) -> np.ndarray:
     """Which of a block's words lie in a window that an earlier document has."""
-    at = _candidates(words, row["answers"], window)
+    w = Windows(words, row["answers"], window, salt)
     mark = np.zeros(words.n + 1, dtype=np.int32)
-    if len(at):
-        own = words.order[words.doc[at]]
-        keys, low, _, place = _by_key(words.windows(at, window), own)
-        gone = (low[place] < own) | bits(row["windows"], len(keys))[:, 0][place]
-        np.add.at(mark, at[gone], 1)
-        np.add.at(mark, at[gone] + window, -1)
+    if len(w.at):
+        gone = w.at[(w.least[w.place] < w.own) | bits(row["windows"], len(w.high))[:, 0][w.place]]
+        np.add.at(mark, gone, 1)
+        np.add.at(mark, gone + window, -1)
     return np.cumsum(mark[:-1]) > 0
 
 
-def _judged(docs: DataFrame, window: int, doc_id: str, text: str, carry: bool) -> DataFrame:
-    """Blocks with the answers from which :func:`_removed` tells what goes."""
+def _judged(docs: DataFrame, window: int, doc_id: str, text: str, carry: bool) -> tuple[DataFrame, bytes]:
+    """Blocks with the answers from which :func:`_removed` tells what goes, and the digests' salt."""
     if window < PERIOD + 8:
         raise ValueError(f"windows have {PERIOD + 8} words or more")
-    blocks = pack(docs, doc_id, text, carry)
-    total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    buckets = max(1, -(-total // (30 * BUCKET_KEYS)))  # an anchor takes about 30 bytes of text
+    salt = os.urandom(16)
+    blocks, total = pack(docs, doc_id, text, carry)
+    buckets = max(1, -(-total // int(30 * BUCKET_KEYS * growth(total))))  # an anchor takes about 30 bytes of text
     shared = cut(ask(blocks, _emit_anchors(buckets, window), _settle_shared, ["block_id", "payload"]))
     asking = blocks.join(shared, "block_id", "left")
-    firsts = ask(asking, _emit_windows(buckets, window), _settle_first, ["block_id", "payload", "answers"])
-    return asking.join(firsts.withColumnRenamed("answers", "windows"), "block_id", "left")
+    firsts = ask(asking, _emit_windows(buckets, window, salt), _settle_first, ["block_id", "payload", "answers"])
+    return asking.join(firsts.withColumnRenamed("answers", "windows"), "block_id", "left"), salt
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the words that :func:`dedup` removes taken out of the texts.
 
     A text that loses words is its kept words, joined by one space; others
-    stay as they are (a null one is empty).  All rows and columns are kept.
+    stay as they are, a null one null.  All rows and columns are kept, whatever
+    the columns are named; repeated ids and null ones count as in
+    :func:`dedup`; an empty table stays empty.
     """
-    whole = _judged(docs, window, doc_id, text, carry=True)
+    whole, salt = _judged(docs, window, doc_id, text, carry=True)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,14 +267,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
                 row = batch.slice(k, 1).to_pylist()[0]
                 block = unpack(row["payload"])
                 words = Words(block)
-                gone = _removed(words, row, window)
+                gone = _removed(words, row, window, salt)
                 texts = block.texts()
                 for i, (a, n) in enumerate(zip(words.starts.tolist(), words.sizes.tolist(), strict=True)):
                     g = gone[a : a + n]
                     if g.any():
                         texts[i] = b" ".join([w for w, x in zip(texts[i].split(), g.tolist(), strict=True) if not x])
-                rest = carried(row["rest"])
-                columns = [pa.chunked_array([pa.array(texts, pa.binary()).cast(pa.string())]) if c == text else rest.column(c) for c in names]
+                rest, missing = carried(row["rest"])
+                mended = pa.array([None if m else t for t, m in zip(texts, missing, strict=True)], pa.binary()).cast(pa.string())
+                columns = [pa.chunked_array([mended]) if c == text else rest.column(c) for c in names]
                 yield from pa.Table.from_arrays(columns, names).combine_chunks().to_batches()
 
     names = docs.columns
@@ -254,9 +295,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: s
     only; what two documents share names the windows that can match, and their
     hashes of the whole window decide, with the smallest id of each.  Anchors
     are cut to 32 bits beside their bucket, which may add windows to compare
-    and never loses one; windows are told apart by 64 bits.
+    and never loses one; windows are told apart by 128-bit digests under a
+    salt of the run's own.  Other columns are not read; an empty table gives no
+    rows.
     """
-    whole = _judged(docs, window, doc_id, text, carry=False)
+    whole, salt = _judged(docs, window, doc_id, text, carry=False)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,7 +307,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: s
                 row = batch.slice(k, 1).to_pylist()[0]
                 block = unpack(row["payload"])
                 words = Words(block)
-                gone = _removed(words, row, window)
+                gone = _removed(words, row, window, salt)
                 total = np.r_[0, np.cumsum(gone)]
                 counts = (total[words.ends] - total[words.starts]).tolist()
                 kept = []

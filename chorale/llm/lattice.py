@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorale.llm.blocks import answered, grouped, pack, unpack
-from chorale.llm.common import cut, map_arrow
+from chorale.llm.blocks import answered, growth, grouped, pack, unpack
+from chorale.llm.common import cut, map_arrow, named
 
 #: Rounds in which the vocabulary's scores are re-estimated from the corpus.
 ROUNDS = 2
@@ -22,7 +22,7 @@ ROUNDS = 2
 SMOOTH = 0.05
 #: Longest word, in bytes, that is handled with others of its length at once.
 SHORT = 48
-#: Distinct words of a bucket, about.
+#: Distinct words of a bucket, about, before it grows with the total.
 BUCKET_WORDS = 100_000
 
 
@@ -189,14 +189,14 @@ def _words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def _dealt(words: list[bytes], buckets: int) -> list[list[int]]:
-    """Which of a block's distinct words go to each bucket."""
+def _dealt(words: list[bytes], buckets: int) -> list[tuple[int, list[int]]]:
+    """Which of a block's distinct words go to each bucket that gets any, in order of bucket."""
     from xxhash import xxh3_64_intdigest
 
-    out: list[list[int]] = [[] for _ in range(buckets)]
+    out: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        out[xxh3_64_intdigest(w) % buckets].append(i)
-    return out
+        out.setdefault(xxh3_64_intdigest(w) % buckets, []).append(i)
+    return sorted(out.items())
 
 
 def held_out(doc_id) -> bool:
@@ -207,11 +207,33 @@ def held_out(doc_id) -> bool:
 
 
 class Scores:
-    """What learning leaves: piece scores, and the unigram base's sizes."""
+    """What learning leaves: piece scores, sizes of the training corpus, and the discount.
 
-    def __init__(self, pieces: list[bytes], scores: np.ndarray, end: float, tokens: int, distinct: int):
-        self.pieces, self.scores, self.end = pieces, scores, end
-        self.tokens, self.distinct = tokens, distinct
+    A word of count c in N training words, V of them distinct, has probability
+    (c - d) / N from its own count and d V / N times its lattice probability, d
+    being the share that counts of 1 and 2 tell to take off each count.  Both
+    parts come from all training documents; they add up to 1 over all words.
+    """
+
+    def __init__(self, pieces: list[bytes], scores: np.ndarray, ends: int, words: int, distinct: int, once: int, twice: int):
+        self.pieces, self.scores = pieces, scores
+        self.ends, self.words, self.distinct = ends, words, distinct
+        self.discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+        self.tokens, self.kinds = words + ends, distinct + (ends > 0)
+        self.end = (ends + 0.5) / (self.tokens + 1)
+
+    def log10(self, counts: np.ndarray, lattice: np.ndarray) -> np.ndarray:
+        """log10 probability of words of these counts and natural-log lattice probabilities, ends aside."""
+        if self.words:
+            own = np.log(np.maximum(np.maximum(counts - self.discount, 0) / self.words, 1e-300))
+            lattice = np.logaddexp(np.where(counts > 0, own, -np.inf), math.log(self.discount * self.distinct / self.words) + lattice)
+        return (math.log1p(-self.end) + lattice) / math.log(10)
+
+
+def first_scores(n: int) -> np.ndarray:
+    """Natural-log scores of the pieces by their ranks, before any re-estimation."""
+    scores = -np.log(np.arange(n) + 20.0)
+    return scores - np.log(np.exp(scores).sum())
 
 
 def score(docs: DataFrame, vocabulary_path: str | None = None, rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -220,77 +242,72 @@ def score(docs: DataFrame, vocabulary_path: str | None = None, rounds: int = ROU
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
     Tokens are lower-cased runs of non-white space, then one end.  The base is
     the sum of log10((c + 0.1) / (N + 0.1 (V + 1))); ``score`` is the log10
-    probability of the text's words under the lattice model: each word, with a
-    space before it, by all its segmentations into the vocabulary's pieces,
-    and the end by its own share.  Every byte is a piece, so that no text has
-    probability zero.
+    probability of the text's words and end, see :class:`Scores`: a word's own
+    share of the training corpus, and for all others its marginal probability,
+    with a space before it, over all segmentations into the vocabulary's
+    pieces.  Every byte is a piece, so that no text has probability zero.
 
     The vocabulary exists; its scores start from the pieces' ranks and are
-    re-estimated from expected counts over the whole training corpus, which
-    is read as distinct words with their counts.  Each block sends its
-    distinct words to buckets once; the buckets are written, sorted, and
-    passed over for each round, for the sizes, and to answer the blocks.  Only
-    sums per piece of the fixed vocabulary reach the driver.
+    re-estimated from expected counts over the distinct words of the whole
+    training corpus.  Each block sends its distinct words, with counts, to
+    buckets once; the buckets are written, sorted, and passed over for each
+    round, for the sizes, and to answer the blocks.  Only sums per piece of the
+    fixed vocabulary reach the driver.
 
     Null and empty texts have one token, the end; ids are integers, a null one
-    counts as held out; rows come back one for one.
+    counts as held out; rows of equal ids are documents of their own; other
+    columns are not read; an empty table gives no rows; rows come back one for
+    one.
     """
     import public_tokenizers
 
     pieces = vocabulary(vocabulary_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    blocks = pack(docs, doc_id, text)
+    learns = F.pmod(F.crc32(F.coalesce(named(doc_id).cast("long").cast("string"), F.lit("")).cast("binary")), F.lit(10)) != 0
+    ends = docs.where(learns).count()
+    blocks, total = pack(docs, doc_id, text)
     context = docs.sparkSession.sparkContext
-    total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    buckets = max(1, -(-total // (150 * BUCKET_WORDS)))  # a distinct word takes some 150 bytes of text
+    buckets = max(1, -(-total // int(150 * BUCKET_WORDS * growth(total))))  # a distinct word takes some 150 bytes of text
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block_id, payload in zip(batch.column("block_id").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 block = unpack(payload)
                 counts: dict[bytes, int] = {}
-                ends = 0
                 later = []
                 for i, t in zip(block.id_list(), block.texts(), strict=True):
                     words = _words(t)
                     if held_out(i):
                         later.append(words)
                         continue
-                    ends += 1
                     for w in words:
                         counts[w] = counts.get(w, 0) + 1
                 for words in later:
                     for w in words:
                         counts.setdefault(w, 0)
                 words, n = list(counts), np.fromiter(counts.values(), "<i8", len(counts))
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([-1], pa.int64()), "block_id": pa.array([block_id], pa.int64()), "asked": pa.array([struct.pack("<q", ends)], pa.binary())})
-                for k, own in enumerate(_dealt(words, buckets)):
-                    if own:
-                        asked = struct.pack("<q", len(own)) + n[own].tobytes() + b"\n".join([words[i] for i in own])
-                        yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int64()), "block_id": pa.array([block_id], pa.int64()), "asked": pa.array([asked], pa.binary())})
+                for k, own in _dealt(words, buckets):
+                    asked = struct.pack("<q", len(own)) + n[own].tobytes() + b"\n".join([words[i] for i in own])
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int64()), "block_id": pa.array([block_id], pa.int64()), "asked": pa.array([asked], pa.binary())})
 
     told = map_arrow(blocks, tell, "bucket long, block_id long, asked binary")
-    dealt = cut(told.repartition("bucket", F.when(F.col("bucket") < 0, F.col("block_id"))).sortWithinPartitions("bucket", "block_id"))
+    dealt = cut(told.repartition("bucket").sortWithinPartitions("bucket", "block_id"))
 
-    def learned(model: Lattice | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Expected counts by piece; the corpus's words as -1, distinct ones as -2, ends as -3."""
-        sums = np.zeros(len(pieces) + 3)
+    def learned(model: Lattice, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Expected counts by piece; -1: words of the corpus, -2: distinct ones, -3 and -4: those of count 1 and 2."""
+        sums = np.zeros(len(pieces) + 4)
         at, held = None, []
 
         def done() -> None:
-            if at == -1:
-                sums[-3] += sum(struct.unpack("<q", a)[0] for a in held)
-                return
             counts: Counter = Counter()
             for asked in held:
                 words, n = _read(asked)
                 for w, c in zip(words, n.tolist(), strict=True):
                     if c:
                         counts[w] += c
-            words, n = list(counts), np.fromiter(counts.values(), np.float64, len(counts))
-            sums[-1] += n.sum()
-            sums[-2] += len(words)
-            if words and model is not None:
-                sums[:-3] += model.expected(words, n)
+            words, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+            sums[-4:] += [(n == 2).sum(), (n == 1).sum(), len(words), n.sum()]
+            if words:
+                sums[:-4] += model.expected(words, np.ones(len(words)))
 
         for batch in batches:
             for bucket, asked in zip(batch.column("bucket").to_pylist(), batch.column("asked").to_pylist(), strict=True):
@@ -300,23 +317,18 @@ def score(docs: DataFrame, vocabulary_path: str | None = None, rounds: int = ROU
                 held.append(asked)
         done()
         on = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_pydict({"piece": pa.array(np.where(on < len(pieces), on, on - len(pieces) - 3)), "n": pa.array(sums[on])})
+        yield pa.RecordBatch.from_pydict({"piece": pa.array(np.where(on < len(pieces), on, on - len(pieces) - 4)), "n": pa.array(sums[on])})
 
     def gather(model) -> dict[int, float]:
         found = map_arrow(dealt, lambda b: learned(model.value, b), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
         return {r.piece: r.n for r in found.collect()}
 
-    scores = -np.log(np.arange(len(pieces)) + 20.0)
-    scores -= np.log(np.exp(scores).sum() * 1.1)
+    scores = first_scores(len(pieces))
     for _ in range(max(1, rounds)):
         got = gather(context.broadcast(Lattice(pieces, scores)))
-        ends = round(got.get(-3, 0.0))
         expected = np.array([got.get(k, 0.0) for k in range(len(pieces))]) + SMOOTH
-        share = expected.sum() + ends + SMOOTH
-        scores = np.log(expected / share)
-        end = math.log10((ends + SMOOTH) / share)
-    tokens, distinct = round(got.get(-1, 0.0)) + ends, round(got.get(-2, 0.0)) + (ends > 0)
-    model = context.broadcast(Scores(pieces, scores, end, tokens, distinct))
+        scores = np.log(expected / expected.sum())
+    model = context.broadcast(Scores(pieces, scores, ends, *(round(got.get(k, 0.0)) for k in (-1, -2, -3, -4))))
 
     def settle_with(asked: list[bytes]) -> list[bytes]:
         lattice = _lattice(model)
@@ -326,15 +338,16 @@ def score(docs: DataFrame, vocabulary_path: str | None = None, rounds: int = ROU
             for w, c in zip(words, n.tolist(), strict=True):
                 counts[w] = counts.get(w, 0) + c
         words = list(counts)
-        log = dict(zip(words, (lattice.log_probabilities(words) / math.log(10)).tolist(), strict=True))
+        log = model.value.log10(np.fromiter(counts.values(), np.int64, len(words)), lattice.log_probabilities(words))
+        log = dict(zip(words, log.tolist(), strict=True))
         return [struct.pack("<q", len(w)) + np.array([counts[x] for x in w], "<i8").tobytes() + np.array([log[x] for x in w], "<f8").tobytes() for w, _ in parts]
 
-    answers = grouped(answered(dealt.where("bucket >= 0"), settle_with))
+    answers = grouped(answered(dealt, settle_with))
     joined = blocks.select("block_id", "payload").join(answers, "block_id", "left").select("payload", "answers")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        size = math.log10(m.tokens + 0.1 * (m.distinct + 1)) if m.tokens or m.distinct else -1.0
+        size = math.log10(m.tokens + 0.1 * (m.kinds + 1))
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
@@ -349,16 +362,15 @@ def score(docs: DataFrame, vocabulary_path: str | None = None, rounds: int = ROU
                             index[w] = len(index)
                 count, log = np.zeros(len(index), dtype=np.int64), np.zeros(len(index))
                 by_bucket = {a["bucket"]: a["answer"] for a in row["answers"] or []}
-                for b, own in enumerate(_dealt(list(index), buckets)):
-                    if own:
-                        count[own] = np.frombuffer(by_bucket[b], "<i8", len(own), 8)
-                        log[own] = np.frombuffer(by_bucket[b], "<f8", len(own), 8 + 8 * len(own))
+                for b, own in _dealt(list(index), buckets):
+                    count[own] = np.frombuffer(by_bucket[b], "<i8", len(own), 8)
+                    log[own] = np.frombuffer(by_bucket[b], "<f8", len(own), 8 + 8 * len(own))
                 base = np.log10(count + 0.1) - size
-                last = math.log10(ends + 0.1) - size
+                last = math.log10(m.ends + 0.1) - size
                 out = []
                 for i, words in zip(ids, parts, strict=True):
                     at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-                    out.append((i, held_out(i), len(words) + 1, int((count[at] > 0).sum()) + (ends > 0), m.tokens, float(base[at].sum() + last), float(log[at].sum() + m.end)))
+                    out.append((i, held_out(i), len(words) + 1, int((count[at] > 0).sum()) + (m.ends > 0), m.tokens, float(base[at].sum() + last), float(log[at].sum() + math.log10(m.end))))
                 names = (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))
                 yield pa.RecordBatch.from_pydict({n: pa.array([o[j] for o in out], t) for j, (n, t) in enumerate(names)})
 
@@ -370,6 +382,6 @@ _built: list = []
 
 def _lattice(model) -> Lattice:
     """The lattice of a broadcast model, built once per Python worker."""
-    if not _built or _built[0] != model.value.end:
-        _built[:] = [model.value.end, Lattice(model.value.pieces, model.value.scores)]
+    if not _built or not np.array_equal(_built[0], model.value.scores):
+        _built[:] = [model.value.scores, Lattice(model.value.pieces, model.value.scores)]
     return _built[1]

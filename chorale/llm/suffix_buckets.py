@@ -1,43 +1,56 @@
 """Byte-level substring dedup by bucket-pointer refinement.
 
-Positions are named by the bucket of the bytes that follow them.  The first
-buckets are those of a position's q-gram; a bucket is refined by the bucket
-that the position some bytes further on is in, so that pairs of pointers name
-buckets of greater depth, and each depth is built from the one before it:
-8, 16, 32, 64, 128 and then the wanted 200 bytes.  A pointer is a 64-bit hash
-of the pair, so that blocks of texts on different machines name equal content
-equally.
-
-Only what can still match is refined.  Each 200-byte string holds a minimiser,
-the q-gram with the least pointer, at the same offset wherever it stands.  In
-the first round blocks ask, for the whole stretch of strings that share a
-minimiser, whether it stands elsewhere, and whether other stretches have
-the same minimiser; where they do, the second round asks string by string,
-once for each kind of stretch.
+Each 200-byte string holds a minimiser, the 64-byte gram with the least hash,
+at the same offset wherever the string stands.  In a first round blocks ask,
+for the whole stretch of strings that share a minimiser, whether that stretch
+stands elsewhere, and whether the minimiser has stretches of other kinds; most
+text is settled so.  Strings of the stretches that remain are named inside
+their block by bucket-pointer refinement: the first buckets are those of equal
+8 bytes, sorted; a bucket with several positions is refined by sorting on the
+buckets that the positions 8 bytes on are in, its new pointers serve to refine
+to 32 bytes, and so on.  One string of each last bucket stands for it in a
+second round, in which blocks compare digests of whole strings.
+
+Hashes of grams only say what to compare.  What counts as equal is decided by
+pointers, which are sorted bytes, and across blocks by 128-bit digests under a
+salt of the run's own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from chorale.llm.blocks import Block, Buckets, ask, bits, from_planes, pack, planes, split, unpack
+from chorale.llm.blocks import Block, Buckets, ask, bits, digests, from_planes, growth, pack, planes, ranges, runs, split, unpack
 from chorale.llm.common import cut, map_arrow
 
-#: Bytes of a string that counts, and of the q-grams that the first buckets are made of.
-LENGTH, Q = 200, 16
-#: Hashes of a bucket, on average.
+#: Bytes of a string that counts, and of the grams of which it has a least one.
+LENGTH, Q = 200, 64
+#: Hashes of a bucket, on average, before it grows with the total.
 BUCKET_KEYS = 500_000
+#: Starts that are looked at at once; within that, ties go to the leftmost gram.
+CHUNK = 1 << 23
+_PLACE = np.uint64(24)
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Pointer of the bucket that buckets ``a`` and, further on, ``b`` make."""
+def words_of(text: bytes, n: int) -> np.ndarray:
+    """The 8 bytes from each position as a number; zeros follow the end."""
+    padded = text + bytes(8)
+    out = np.empty(n, dtype=np.uint64)
+    for k in range(min(8, n)):
+        out[k::8] = np.frombuffer(padded, "<u8", (n - k + 7) // 8, k)
+    return out
+
+
+def _paired(a: np.ndarray, step: int) -> np.ndarray:
+    """Hashes of twice the depth, of those ``step`` apart."""
+    b = np.r_[a[step:], np.zeros(min(step, len(a)), dtype=np.uint64)]
     with np.errstate(over="ignore"):
         h = a * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
@@ -47,194 +60,193 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h
 
 
-class Pointers:
-    """A block's bytes and the pointers of each depth, end to end.
+def refined(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The bucket of each start: two are the same if their ``length`` bytes are equal.
+
+    ``length`` is 8 or more.  Pointers of every depth are exact: they number
+    sorted 8-byte words first, then sorted pairs of pointers of half the depth.
+    Positions that are alone in their bucket are not sorted again.
+    """
+    inside = ranges(starts, starts + length - 1, len(text))
+    place = np.cumsum(inside) - 1
+    starts = place[starts]
+    n = int(place[-1]) + 1 if len(place) else 0
+    # positions near a stretch's end read on into the next; no start depends on them
+    _, pointer = np.unique(words_of(text[inside].tobytes(), n), return_inverse=True)
+    depth = 8
+    while depth < length and n:
+        step = min(depth, length - depth)
+        count = np.bincount(pointer)
+        several = np.flatnonzero(count[pointer] > 1)
+        if not len(several):
+            break
+        later = np.r_[pointer, np.full(step, -1)][several + step]
+        by, first = runs(pointer[several], later)
+        rank = np.empty(len(several), dtype=np.int64)
+        rank[by] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(several)]))
+        fresh = np.arange(len(first), len(first) + n)
+        fresh[several] = rank
+        pointer, depth = fresh, depth + step
+    return np.unique(pointer[starts], return_inverse=True)[1]
+
+
+class Grams:
+    """A block's bytes and the hash of the :data:`Q` bytes from each position.
 
     Values near a document's end reach into the next; callers leave them out.
     """
 
     def __init__(self, block: Block):
+        self.bytes = block.text
         self.text = np.frombuffer(block.text, dtype=np.uint8)
         self.n = len(self.text)
         self.ends = block.ends.astype(np.int64)
         self.sizes = np.diff(np.r_[0, self.ends])
-        self.end_of = np.repeat(self.ends, self.sizes)
-        padded = block.text + bytes(8)
-        eight = np.empty(self.n, dtype=np.uint64)
-        for k in range(min(8, self.n)):
-            part = np.frombuffer(padded, "<u8", (self.n - k + 7) // 8, k)
-            eight[k::8] = part
-        self.depth = {8: eight}
-        self.deepen(Q, 8)
-
-    def deepen(self, depth: int, base: int) -> np.ndarray:
-        """Pointers of ``depth`` from those of ``base``, which is half of it or more."""
-        if depth not in self.depth:
-            low = self.depth[base]
-            step = depth - base
-            self.depth[depth] = _pair(low, np.r_[low[step:], np.zeros(min(step, self.n), dtype=np.uint64)])
-        return self.depth[depth]
-
-    def half(self) -> np.ndarray:
-        """Pointers of 128 bytes; those of depths between are dropped once used."""
-        if 128 not in self.depth:
-            self.depth.pop(8)
-            for d in (32, 64, 128):
-                self.deepen(d, d // 2)
-                if d > 2 * Q:
-                    self.depth.pop(d // 2)
-        return self.depth[128]
-
-    def full(self, at: np.ndarray) -> np.ndarray:
-        """Pointers of all ``LENGTH`` bytes from each of ``at``."""
-        d = self.half()
-        return _pair(d[at], d[at + LENGTH - 128])
+        self.hash = words_of(block.text, self.n)
+        depth = 8
+        while depth < Q:
+            self.hash = _paired(self.hash, depth)
+            depth *= 2
 
     def minimisers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Least q-grams of strings, leftmost among equals, and the first and last string of each.
+        """Least grams of strings, leftmost among equals, and the first and last string of each.
 
         The strings that have a position as their minimiser start one after
-        another, so each string is accounted for once.
+        another, so each string is accounted for once.  The choice depends on a
+        string's own bytes only: upper hash bits, then the place in the string.
         """
-        none = np.empty(0, dtype=np.int64)
-        if self.n < LENGTH:
-            return none, none, none
-        wide = max(24, int(self.n).bit_length())
-        h = (self.depth[Q] >> np.uint64(wide) << np.uint64(wide)) | np.arange(self.n, dtype=np.uint64)
-        span, have = LENGTH - Q + 1, 1
-        while have < span:
-            step = min(have, span - have)
-            h = np.minimum(h[:-step], h[step:])
-            have += step
-        starts = np.flatnonzero(self.end_of[: len(h)] - np.arange(len(h)) >= LENGTH)
+        long = self.sizes >= LENGTH
+        ok = ranges((self.ends - self.sizes)[long], self.ends[long] - LENGTH, self.n)
+        span = LENGTH - Q + 1
+        least = []
+        for a in range(0, max(0, self.n - LENGTH + 1), CHUNK):
+            h = self.hash[a : a + CHUNK + span - 1]
+            h = (h >> _PLACE << _PLACE) | np.arange(len(h), dtype=np.uint64)
+            have = 1
+            while have < span:
+                step = min(have, span - have)
+                h = np.minimum(h[:-step], h[step:])
+                have += step
+            least.append((h[:CHUNK] & np.uint64((1 << 24) - 1)).astype(np.int64) + a)
+        starts = np.flatnonzero(ok)
         if not len(starts):
+            none = np.empty(0, dtype=np.int64)
             return none, none, none
-        at = (h[starts] & np.uint64((1 << wide) - 1)).astype(np.int64)
+        at = np.concatenate(least)[starts]
         new = np.flatnonzero(np.r_[True, np.diff(at) != 0])
         return at[new], starts[new], starts[np.r_[new[1:] - 1, len(at) - 1]]
 
-    def stretches(self, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """A pointer of all that the strings of each minimiser span.
-
-        Equal stretches have their minimiser at the same offset, so all their
-        strings are equal too.
-        """
-        stop = last + LENGTH
-        d = self.half()
-        h = _pair(_pair(d[first], d[np.minimum(first + 128, stop - 128)]), d[stop - 128])
-        return _pair(h, ((stop - first) * 1024 + (at - first)).astype(np.uint64))
 
+class Stretches:
+    """A block's stretches, and the distinct (minimiser, stretch) entries that it asks about."""
 
-def _named(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs sorted by (a, b), how often each is there, each place's pair."""
-    by = np.lexsort((b, a))
-    x, y = a[by], b[by]
-    new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])] if len(x) else np.empty(0, bool)
-    starts = np.flatnonzero(new)
-    place = np.empty(len(a), dtype=np.int64)
-    place[by] = np.cumsum(new) - 1
-    return x[starts], y[starts], np.diff(np.r_[starts, len(x)]), place
+    def __init__(self, grams: Grams, salt: bytes):
+        self.at, self.first, self.last = grams.minimisers()
+        high, low = digests(grams.bytes, self.first, self.last + LENGTH, salt)
+        key = grams.hash[self.at]
+        by, new = runs(key, high, low)
+        self.key, self.high, self.low = key[by][new], high[by][new], low[by][new]
+        self.counts = np.diff(np.r_[new, len(by)])
+        self.place = np.empty(len(by), dtype=np.int64)
+        self.place[by] = np.repeat(np.arange(len(new)), self.counts)
 
 
-def _emit_minimisers(buckets: int) -> Callable[[dict], Iterator[tuple[int, bytes]]]:
-    ranges = Buckets(buckets)
+def _emit_stretches(buckets: int, salt: bytes) -> Callable[[dict], Iterator[tuple[int, bytes]]]:
+    dealt = Buckets(buckets)
 
     def emit(row: dict) -> Iterator[tuple[int, bytes]]:
-        p = Pointers(unpack(row["payload"]))
-        at, first, last = p.minimisers()
-        if not len(at):
-            return
-        whole = p.stretches(at, first, last)
-        key, stretch, counts, _ = _named(_pair(p.depth[Q][at], np.uint64(1)), whole)
-        for k, a, b in ranges.slices(key):
-            yield k, struct.pack("<q", b - a) + key[a:b].astype("<u4").tobytes() + stretch[a:b].astype("<u8").tobytes() + np.packbits(counts[a:b] > 1).tobytes()
+        s = Stretches(Grams(unpack(row["payload"])), salt)
+        for k, a, b in dealt.slices(s.key):
+            yield k, struct.pack("<q", b - a) + s.key[a:b].astype("<u4").tobytes() + s.high[a:b].tobytes() + s.low[a:b].tobytes() + np.packbits(s.counts[a:b] > 1).tobytes()
 
     return emit
 
 
-def _more_than_one(keys: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """For each entry: does its key stand in another entry, or often in one?"""
-    by = np.argsort(keys, kind="stable")
-    k = keys[by]
-    starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    counts = np.diff(np.r_[starts, len(k)])
-    yes = (counts > 1) | np.logical_or.reduceat(many[by], starts)
-    out = np.empty(len(k), dtype=bool)
-    out[by] = np.repeat(yes, counts)
-    return out
+def _flags(data: bytes, n: int, offset: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8, offset=offset), count=n).astype(bool)
 
 
-def _settle_minimisers(asked: list[bytes]) -> list[bytes]:
+def _settle_stretches(asked: list[bytes]) -> list[bytes]:
     """Two bits for each entry: is its stretch elsewhere; are its strings to be asked for.
 
     They are if the minimiser has stretches of several kinds, by one entry of
     each kind: that one stands for the others, which are settled already.
     """
     sizes = [struct.unpack_from("<q", a)[0] for a in asked]
-    key = np.concatenate([np.frombuffer(a, "<u4", n, 8) for a, n in zip(asked, sizes, strict=True)])
-    stretch = np.concatenate([np.frombuffer(a, "<u8", n, 8 + 4 * n) for a, n in zip(asked, sizes, strict=True)])
-    many = np.concatenate([np.unpackbits(np.frombuffer(a, np.uint8, offset=8 + 12 * n), count=n) for a, n in zip(asked, sizes, strict=True)]).astype(bool)
-    by = np.lexsort((stretch, key))
-    new_key = np.r_[True, key[by][1:] != key[by][:-1]]
-    first = new_key | np.r_[True, stretch[by][1:] != stretch[by][:-1]]
-    kinds = np.add.reduceat(first.astype(np.int64), np.flatnonzero(new_key))
-    ask_for = np.empty(len(by), dtype=bool)
-    ask_for[by] = first & (kinds > 1)[np.cumsum(new_key) - 1]
-    return split(np.stack([_more_than_one(stretch, many), ask_for], axis=1), sizes)
+    key, high, low = (np.concatenate([np.frombuffer(a, t, n, 8 + at * n) for a, n in zip(asked, sizes, strict=True)]) for t, at in (("<u4", 0), ("<u8", 4), ("<u8", 12)))
+    many = np.concatenate([_flags(a, n, 8 + 20 * n) for a, n in zip(asked, sizes, strict=True)])
+    by, kind = runs(key, high, low)
+    count = np.diff(np.r_[kind, len(by)])
+    sure = np.empty(len(by), dtype=bool)
+    sure[by] = np.repeat((count > 1) | np.logical_or.reduceat(many[by], kind), count)
+    of = key[by][kind]
+    start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    kinds = np.diff(np.r_[start, len(of)])
+    ask_for = np.zeros(len(by), dtype=bool)
+    ask_for[by[kind]] = np.repeat(kinds > 1, kinds)
+    return split(np.stack([sure, ask_for], axis=1), sizes)
 
 
 def _settle_strings(asked: list[bytes]) -> list[bytes]:
     """A bit for each string: does it stand elsewhere?"""
     sizes = [struct.unpack_from("<q", a)[0] for a in asked]
-    key = np.concatenate([from_planes(a, n, 8) for a, n in zip(asked, sizes, strict=True)])
-    many = np.concatenate([np.unpackbits(np.frombuffer(a, np.uint8, offset=8 + 8 * n), count=n) for a, n in zip(asked, sizes, strict=True)]).astype(bool)
-    return split(_more_than_one(key, many), sizes)
-
-
-def _ranges(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
-    """Which of ``n`` positions lie in one of the ranges, ends included."""
-    mark = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(mark, first, 1)
-    np.add.at(mark, last + 1, -1)
-    return np.cumsum(mark[:-1]) > 0
+    high = np.concatenate([from_planes(a, n, 8) for a, n in zip(asked, sizes, strict=True)])
+    low = np.concatenate([np.frombuffer(a, "<u8", n, 8 + 8 * n) for a, n in zip(asked, sizes, strict=True)])
+    many = np.concatenate([_flags(a, n, 8 + 16 * n) for a, n in zip(asked, sizes, strict=True)])
+    by, new = runs(high, low)
+    count = np.diff(np.r_[new, len(by)])
+    out = np.empty(len(by), dtype=bool)
+    out[by] = np.repeat((count > 1) | np.logical_or.reduceat(many[by], new), count)
+    return split(out, sizes)
 
 
-def _states(p: Pointers, answers: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of strings known to stand elsewhere, and of those to ask for.
+class Strings:
+    """What the first round left of a block: starts that are settled, and buckets of the others.
 
-    Some are both: the others that the same stretch settles count on them.
+    Some starts are both: what the same stretch elsewhere settles counts on them.
     """
-    at, first, last = p.minimisers()
-    if not len(at) or not answers:
-        return np.zeros(p.n, dtype=bool), np.empty(0, dtype=np.int64)
-    whole = p.stretches(at, first, last)
-    _, _, counts, place = _named(_pair(p.depth[Q][at], np.uint64(1)), whole)
-    got = bits(answers, len(counts), 2)[place]
-    sure = _ranges(first[got[:, 0]], last[got[:, 0]], p.n)
-    return sure, np.flatnonzero(_ranges(first[got[:, 1]], last[got[:, 1]], p.n))
+
+    def __init__(self, grams: Grams, answers: list[dict] | None, salt: bytes):
+        self.sure = np.zeros(grams.n, dtype=bool)
+        self.open = np.empty(0, dtype=np.int64)
+        self.high = self.low = np.empty(0, dtype=np.uint64)
+        self.counts = self.place = self.open
+        if not answers:
+            return
+        s = Stretches(grams, salt)
+        got = bits(answers, len(s.key), 2)[s.place]
+        self.sure = ranges(s.first[got[:, 0]], s.last[got[:, 0]], grams.n)
+        self.open = np.flatnonzero(ranges(s.first[got[:, 1]], s.last[got[:, 1]], grams.n))
+        if not len(self.open):
+            return
+        bucket = refined(grams.text, self.open)
+        _, one, counts = np.unique(bucket, return_index=True, return_counts=True)
+        high, low = digests(grams.bytes, self.open[one], self.open[one] + LENGTH, salt)
+        by = np.lexsort((low, high))
+        self.high, self.low, self.counts = high[by], low[by], counts[by]
+        rank = np.empty(len(by), dtype=np.int64)
+        rank[by] = np.arange(len(by))
+        self.place = rank[bucket]
 
 
-def _emit_strings(buckets: int) -> Callable[[dict], Iterator[tuple[int, bytes]]]:
-    ranges = Buckets(buckets)
+def _emit_strings(buckets: int, salt: bytes) -> Callable[[dict], Iterator[tuple[int, bytes]]]:
+    dealt = Buckets(buckets)
 
     def emit(row: dict) -> Iterator[tuple[int, bytes]]:
-        p = Pointers(unpack(row["payload"]))
-        _, open_ = _states(p, row["answers"])
-        key, counts = np.unique(p.full(open_), return_counts=True) if len(open_) else (np.empty(0, np.uint64), None)
-        for k, a, b in ranges.slices(key):
-            yield k, struct.pack("<q", b - a) + planes(key[a:b]) + np.packbits(counts[a:b] > 1).tobytes()
+        s = Strings(Grams(unpack(row["payload"])), row["answers"], salt)
+        for k, a, b in dealt.slices(s.high):
+            yield k, struct.pack("<q", b - a) + planes(s.high[a:b]) + s.low[a:b].tobytes() + np.packbits(s.counts[a:b] > 1).tobytes()
 
     return emit
 
 
-def _covered(p: Pointers, row: dict) -> np.ndarray:
+def _covered(grams: Grams, row: dict, salt: bytes) -> np.ndarray:
     """Which bytes lie in a string that also stands elsewhere."""
-    sure, open_ = _states(p, row["answers"])
-    if len(open_):
-        keys, place = np.unique(p.full(open_), return_inverse=True)
-        sure[open_[bits(row["strings"], len(keys))[:, 0][place]]] = True
-    starts = np.flatnonzero(sure)
-    return _ranges(starts, starts + LENGTH - 1, p.n)
+    s = Strings(grams, row["answers"], salt)
+    if len(s.open):
+        s.sure[s.open[bits(row["strings"], len(s.high))[:, 0][s.place]]] = True
+    starts = np.flatnonzero(s.sure)
+    return ranges(starts, starts + LENGTH - 1, grams.n)
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_bytes: bool = False) -> DataFrame:
@@ -244,18 +256,21 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_byte
     other place, of the same document or another; strings do not cross
     documents and are judged on the input.  Every copy goes, the first too;
     equal rows are places of their own.  ``with_bytes`` adds the remaining
-    bytes as kept.  A null text is empty; ids are integers or null; rows come
-    back one for one.
+    bytes as kept.  A null text is empty; ids are integers or null; other
+    columns, whatever their names, are not read; an empty table gives no rows;
+    rows come back one for one.
 
     Minimisers go out as 32 bits beside their bucket, which may lead to more
-    questions and never loses a match; strings are told apart by 64 bits.
+    questions and never loses a match.  A stretch or string leaves a block once
+    however often the block has it, and buckets are ranges of a hash or digest,
+    so that a passage or gram that all documents share is no hot key.
     """
-    blocks = pack(docs, doc_id, text)
-    total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    buckets = max(1, -(-total // (40 * BUCKET_KEYS)))
-    shared = cut(ask(blocks, _emit_minimisers(buckets), _settle_minimisers, ["block_id", "payload"]))
+    salt = os.urandom(16)
+    blocks, total = pack(docs, doc_id, text)
+    buckets = max(1, -(-total // int(40 * BUCKET_KEYS * growth(total))))
+    shared = cut(ask(blocks, _emit_stretches(buckets, salt), _settle_stretches, ["block_id", "payload"]))
     asking = blocks.select("block_id", "payload").join(shared, "block_id", "left")
-    strings = ask(asking, _emit_strings(buckets), _settle_strings, ["block_id", "payload", "answers"])
+    strings = ask(asking, _emit_strings(buckets, salt), _settle_strings, ["block_id", "payload", "answers"])
     whole = asking.join(strings.withColumnRenamed("answers", "strings"), "block_id", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,17 +278,17 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_byte
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 block = unpack(row["payload"])
-                p = Pointers(block)
-                gone = _covered(p, row)
+                grams = Grams(block)
+                gone = _covered(grams, row, salt)
                 kept, removed, spans = [], [], []
-                for e, size in zip(p.ends.tolist(), p.sizes.tolist(), strict=True):
+                for e, size in zip(grams.ends.tolist(), grams.sizes.tolist(), strict=True):
                     g = gone[e - size : e]
                     removed.append(int(g.sum()))
                     spans.append(int(np.count_nonzero(g & ~np.r_[False, g[:-1]])) if size else 0)
-                    kept.append(block.text[e - size : e] if not removed[-1] else p.text[e - size : e][~g].tobytes())
+                    kept.append(block.text[e - size : e] if not removed[-1] else grams.text[e - size : e][~g].tobytes())
                 out = {
                     "doc_id": pa.array(block.id_list(), pa.int64()),
-                    "n_bytes": pa.array(p.sizes),
+                    "n_bytes": pa.array(grams.sizes),
                     "n_removed": pa.array(removed, pa.int64()),
                     "n_spans": pa.array(spans, pa.int64()),
                     "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string()),

@@ -115,8 +115,48 @@ def leaks(rows, items, n=13):
     return out
 
 
+def held(k):
+    return zlib.crc32(b"" if k is None else str(k).encode()) % 10 == 0
+
+
+def _into(word, index):
+    return [[(i, index[word[i:j]]) for i in range(max(0, j - 140), j) if word[i:j] in index] for j in range(len(word) + 1)]
+
+
+def _add(xs):
+    top = max(xs, default=-math.inf)
+    return top if top == -math.inf else top + math.log(math.fsum(math.exp(x - top) for x in xs))
+
+
+def log_forward(word, index, scores):
+    """Natural-log sum over all segmentations of a word."""
+    a = [0.0]
+    for own in _into(word, index)[1:]:
+        a.append(_add([a[i] + scores[p] for i, p in own]))
+    return a[-1]
+
+
+def long_word(word, index, scores):
+    """Expected piece counts of one word, in log space."""
+    into = _into(word, index)
+    a = [0.0]
+    for own in into[1:]:
+        a.append(_add([a[i] + scores[p] for i, p in own]))
+    out = [[] for _ in into]
+    for j, own in enumerate(into):
+        for i, p in own:
+            out[i].append((j, p))
+    b = [0.0] * len(into)
+    for i in range(len(into) - 2, -1, -1):
+        b[i] = _add([b[j] + scores[p] for j, p in out[i]])
+    got = Counter()
+    for j, own in enumerate(into):
+        for i, p in own:
+            got[p] += math.exp(a[i] + scores[p] + b[j] - a[-1])
+    return got
+
+
 def unigram(rows):
-    held = lambda k: zlib.crc32(b"" if k is None else str(k).encode()) % 10 == 0
     data = [(k, [*SPACED.findall(low(t)), None]) for k, t in rows]
     count = Counter(x for k, w in data if not held(k) for x in w)
     n, v = sum(count.values()), len(count)

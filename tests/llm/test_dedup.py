@@ -80,12 +80,68 @@ def test_word_repeats_taken_out_of_texts(docs, rows, small_blocks):
     got = difference_cover.remove_repeats(docs)
     assert got.columns == docs.columns
     judged = brute.word_repeats(rows)
-    have = Counter((r.doc_id, brute.sha(" ".join(brute.SPACED.findall(r.text)))) for r in got.collect())
+    have = Counter((r.doc_id, brute.sha(" ".join(brute.SPACED.findall(r.text or "")))) for r in got.collect())
     assert have == Counter((k, h) for k, _, _, h in judged)
-    untouched = Counter((k, t or "") for (k, t), (_, _, n, _) in zip(rows, judged, strict=True) if not n)
+    untouched = Counter((k, t) for (k, t), (_, _, n, _) in zip(rows, judged, strict=True) if not n)
     assert untouched <= Counter((r.doc_id, r.text) for r in got.collect())
 
 
 def test_cover_is_a_difference_set():
     p = difference_cover.PERIOD
     assert {(a - b) % p for a in difference_cover.COVER for b in difference_cover.COVER} == set(range(p))
+
+
+def test_bucket_pointers_name_equal_bytes():
+    """At each depth buckets are the classes of equal strings."""
+    rng = np.random.default_rng(4)
+    part = rng.integers(97, 100, 900, dtype=np.uint8)
+    text = np.r_[part, rng.integers(97, 123, 500, dtype=np.uint8), part[:600], np.full(300, 120, np.uint8), part[300:]]
+    for depth in (8, 16, 21, 64, 128, 200):
+        starts = np.flatnonzero(rng.random(len(text) - depth) < 0.4)
+        got = suffix_buckets.refined(text, starts, depth)
+        name = {}
+        want = [name.setdefault(text[s : s + depth].tobytes(), len(name)) for s in starts.tolist()]
+        assert len(set(zip(got.tolist(), want, strict=True))) == len(set(want)) == len(set(got.tolist()))
+    assert not len(suffix_buckets.refined(text, np.empty(0, np.int64)))
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_of_equal_polynomial_hash_are_told_apart(spark):
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{word} {rest}"), (2, f"{other} {rest}"), (3, f"{word}\n {rest}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ordered(difference_cover.dedup(df)) == sorted(map(repr, brute.word_repeats(rows)))
+    assert {r.doc_id: r.n_removed for r in difference_cover.dedup(df).collect()} == {1: 0, 2: 0, 3: 50}
+
+
+def test_strings_of_equal_gram_hash_are_told_apart(spark):
+    rng = np.random.default_rng(9)
+    tail = "".join(map(chr, rng.integers(33, 126, 184)))
+    rows = [(1, "yc}cK_3R)`P!rJv!" + tail), (2, "`W|@[|b{,gq|xk%{" + tail), (3, "x" + tail), (4, "yc}cK_3R)`P!rJv!" + tail[:-1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in suffix_buckets.dedup(df).collect()} == dict.fromkeys((1, 2, 3, 4), 0)
+    # grams that hash alike only bring strings together
+    again = spark.createDataFrame([*rows, (5, "zz" + rows[0][1]), (6, tail + rows[1][1] + "z")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in suffix_buckets.dedup(again).collect()} == {1: 200, 2: 200, 3: 0, 4: 0, 5: 200, 6: 200}
+
+
+def test_texts_beyond_one_chunk(spark, monkeypatch):
+    monkeypatch.setattr(suffix_buckets, "CHUNK", 150)
+    rng = np.random.default_rng(2)
+    text = "".join(map(chr, rng.integers(97, 123, 3000)))
+    rows = [(1, text), (2, text[1000:1400] + "-" + text[200:900]), (3, text[2990:] + text[:10])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # chunks only cut the work: texts of any length choose alike
+    assert ordered(suffix_buckets.dedup(df)) == sorted(map(repr, brute.byte_repeats(rows)))
+
+
+def test_odd_column_names(spark):
+    rows = [(1, "a " + " ".join(f"w{i}" for i in range(60)), 3), (2, None, 4), (3, " ".join(f"w{i}" for i in range(60)), 5)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "a.b"])
+    got = {r[0]: (r[1], r[2]) for r in difference_cover.remove_repeats(df).collect()}
+    assert got == {1: rows[0][1:], 2: (None, 4), 3: ("", 5)}

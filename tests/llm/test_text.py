@@ -1,5 +1,6 @@
 import math
 import struct
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,12 +136,81 @@ def test_lattice_sums_over_all_segmentations():
     assert expected @ [len(p) for p in pieces] == pytest.approx(sum(len(w) + 1 for w in words))
 
 
+def lattice_of(rows, rounds):
+    """Piece scores and discount by forward and backward sums over each distinct training word."""
+    import public_tokenizers
+
+    pieces = lattice.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    index, scores = {p: i for i, p in enumerate(pieces)}, lattice.first_scores(len(pieces))
+    counts = Counter(w for k, t in rows if not brute.held(k) for w in brute.SPACED.findall(brute.low(t)))
+
+    def arcs(w):
+        return [(i, j, index[w[i:j]]) for j in range(1, len(w) + 1) for i in range(max(0, j - 40), j) if w[i:j] in index]
+
+    def forward(own, n, p):
+        a = [1.0] + [0.0] * n
+        for i, j, k in own:
+            a[j] += a[i] * p[k]
+        return a
+
+    for _ in range(rounds):
+        p = [math.exp(x) for x in scores]
+        expected = [lattice.SMOOTH] * len(pieces)
+        for w in counts:
+            w = b" " + w.encode()
+            own, n = arcs(w), len(w)
+            if n > 60:
+                for k, c in brute.long_word(w, index, scores).items():
+                    expected[k] += c
+                continue
+            a, b = forward(own, n, p), [0.0] * n + [1.0]
+            for i, j, k in reversed(own):
+                b[i] += b[j] * p[k]
+            for i, j, k in own:
+                expected[k] += a[i] * p[k] * b[j] / a[n]
+        total = sum(expected)
+        scores = [math.log(x / total) for x in expected]
+    return index, scores, counts, arcs
+
+
 def test_lattice_scores(docs, rows, empty, small_blocks):
+    """Every column against plain sums, the re-estimated score of whole documents included."""
     got = {}
     for r in lattice.score(docs).collect():
         got.setdefault(r.doc_id, []).append(r)
-    for k, held, n, known, total, base in brute.unigram(rows):
-        own = [r for r in got[k] if (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)]
-        assert any(r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0 for r in own)
+    index, scores, counts, arcs = lattice_of(rows, lattice.ROUNDS)
+    n, v = sum(counts.values()), len(counts)
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    d = once / (once + 2 * twice)
+    ends = sum(not brute.held(k) for k, _ in rows)
+    memo = {}
+
+    def word(w):
+        if w not in memo:
+            x = b" " + w.encode()
+            lat = brute.log_forward(x, index, scores)
+            own = (counts[w] - d) / n if counts[w] else 0.0
+            memo[w] = math.log10(own + d * v / n * math.exp(lat)) if lat > -600 else math.log10(own) if own else (math.log(d * v / n) + lat) / math.log(10)
+        return memo[w]
+
+    end = (ends + 0.5) / (n + ends + 1)
+    for (k, text), (_, held, n_tokens, known, total, base) in zip(rows, brute.unigram(rows), strict=True):
+        words = brute.SPACED.findall(brute.low(text))
+        want = sum(map(word, words)) + len(words) * math.log10(1 - end) + math.log10(end)
+        own = [r for r in got[k] if (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n_tokens, known, total)]
+        assert any(r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(want, rel=1e-7) for r in own), k
     assert sum(map(len, got.values())) == len(rows)
     assert lattice.score(empty).count() == 0
+
+
+def test_lattice_tells_repeated_documents_apart(spark):
+    """A text of rare words that the corpus has twice is likelier than those that it has once."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, " ".join("".join(rng.choice("bdegiknorstu") for _ in range(6)) for _ in range(40))) for k in range(1, 60) if not brute.held(k)]
+    rows += [(100 + k, t) for k, t in rows[:5] if not brute.held(100 + k)]
+    twice = {t for _, t in rows[-3:]}
+    text = dict(rows)
+    got = {r.doc_id: r.score / r.n_tokens for r in lattice.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(v for k, v in got.items() if text[k] in twice) > max(v for k, v in got.items() if k < 100 and k > 10)
