@@ -17,6 +17,8 @@ from chorale.llm.components import components
 THRESHOLD = 4
 #: Entries of an anchor that one task compares; larger groups are dealt out in pairs of parts.
 GROUP = 8_192
+#: Parts by which a component's members get its id.
+SALTS = 16
 
 
 def _shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
@@ -258,9 +260,12 @@ def near_duplicates(docs: DataFrame, n: int = 4, doc_id: str = "doc_id", text: s
     """
     rows = cut(fingerprints(docs, n, doc_id, text))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    groups = components(linked_pairs(distinct)).withColumnRenamed("node", "fp")
-    by_fp = distinct.join(groups, "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    named = by_fp.join(by_fp.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("fp", "component_id")
+    groups = cut(components(linked_pairs(distinct)).withColumnRenamed("node", "fp"))
+    linked = distinct.join(groups, "fp").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    # a component may hold most fingerprints: its least id is found, and handed back, by salted parts
+    first = linked.groupBy("component", "salt").agg(F.min("low").alias("low")).groupBy("component").agg(F.min("low").alias("component_id"))
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    named = linked.join(first, ["component", "salt"]).select("fp", "component_id").unionByName(distinct.join(groups, "fp", "left_anti").select("fp", F.col("low").alias("component_id")))
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
