@@ -8,6 +8,8 @@ their own: priority | label | confidence | keyword | regex.  A rule's regex is
 tried only where its keyword occurs.
 """
 
+from functools import lru_cache
+
 FAMILIES = r"""
 mit | mit | (?:the )?mit (?:x11 )?licen[cs]e(?: mit)? | mit
 mit-0 | mit | mit no attribution(?: licen[cs]e)? | mit 0
@@ -197,23 +199,64 @@ PLAIN = r"""
 """
 
 
+def spellings(regex: str) -> list[str]:
+    """Texts that a rule's regex matches: each alternative, repeats at their least and once more."""
+    from re import _constants as c
+    from re import _parser
+
+    def of(parts) -> list[str]:
+        found = [""]
+        for op, arg in parts:
+            if op is c.LITERAL:
+                each = [chr(arg)]
+            elif op is c.IN:
+                each = [x for o, v in arg for x in ({c.CATEGORY_DIGIT: ["7"], c.CATEGORY_WORD: ["w"]}[v] if o is c.CATEGORY else [chr(v)])]
+            elif op is c.BRANCH:
+                each = [x for branch in arg[1] for x in of(branch)]
+            elif op is c.SUBPATTERN:
+                each = of(arg[3])
+            elif op is c.MAX_REPEAT:
+                once = of(arg[2])
+                each = [x * k for k in (arg[0], min(arg[0] + 1, arg[1])) for x in once]
+            else:
+                raise ValueError(f"{regex}: {op}")
+            found = [f + x for f in found for x in dict.fromkeys(each)]
+        return found
+
+    return of(_parser.parse(regex))
+
+
+def gated(keyword: str, regex: str) -> str:
+    """The keyword with the spaces around it that all spellings have; they must hold the keyword."""
+    texts = [f" {x} " for x in spellings(regex)]
+    for k in (f" {keyword} ", f" {keyword}", f"{keyword} ", keyword):
+        if all(k in x for x in texts):
+            return k
+    raise ValueError(f"{regex} matches without its keyword {keyword}")
+
+
+@lru_cache(maxsize=1)
 def rules() -> list[tuple[int, str, float, str, str]]:
     """Priority (1 is highest), label, confidence, keyword and regex of each rule.
 
     The regexes match whole words of text with a space at either end; the
-    space before is looked behind at, the one after looked ahead at.
+    space before is looked behind at, the one after looked ahead at.  Keywords
+    have a space where a word begins or ends in every spelling.
     """
     whole = lambda r: f"(?<= )(?:{r})(?= )"
     out = []
     for line in filter(None, FAMILIES.strip().splitlines()):
         label, keyword, name, tag = (x.strip() for x in line.split(" | "))
-        out.append((1, label, 0.99, "spdx", whole(rf"spdx licen[cs]e identifier {tag}")))
-        out.append((2, label, 0.95, keyword, whole(name)))
+        spdx = rf"spdx licen[cs]e identifier {tag}"
+        out.append((1, label, 0.99, gated("spdx", spdx), whole(spdx)))
+        out.append((2, label, 0.95, gated(keyword, name), whole(name)))
     for line in filter(None, PLAIN.strip().splitlines()):
         priority, label, confidence, keyword, regex = (x.strip() for x in line.split(" | "))
-        out.append((int(priority), label, float(confidence), keyword, whole(regex)))
+        out.append((int(priority), label, float(confidence), gated(keyword, regex), whole(regex)))
     return out
 
 
-#: Words of which each keyword holds one; texts without any have no detection.
-ROOTS = ("licen", "copy", "domain", "spdx", "gpl", "cc by", "cc0", "commons", "redistribution", "permission", "reserved", "proprietary", "unauthorized", "commercial", "wtfpl", "unencumbered", "endorse", "advertising", "altered source", "as is without", "waived", "rail", "freebsd", " bsd", "mulan", "no attribution")
+def gate() -> list[str]:
+    """The fewest keywords of which every rule's keyword holds one; a text without any has no detection."""
+    keys = sorted({k for *_, k, _ in rules()})
+    return [k for k in keys if not any(o != k and o in k for o in keys)]

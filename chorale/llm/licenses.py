@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chorale.llm.common import keyed_texts
-from chorale.llm.license_rules import ROOTS, rules
+from chorale.llm.license_rules import gate, rules
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 LEVELS = 4
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _quoted(s: str) -> str:
@@ -31,17 +32,19 @@ def detections() -> str:
     A rule runs where its keyword occurs.  Places come from what its regex
     extracts and what splitting by it leaves between.
     """
-    one = """transform(
-      aggregate(
-        regexp_extract_all(norm, r.r, 0),
-        named_struct('at', 0, 'i', 0, 'gaps', split(norm, r.r, -1), 'out', cast(array() as array<struct<s:int,e:int>>)),
-        (a, m) -> named_struct(
-          'at', a.at + length(a.gaps[a.i]) + length(m),
-          'i', a.i + 1,
-          'gaps', a.gaps,
-          'out', concat(a.out, array(named_struct('s', a.at + length(a.gaps[a.i]), 'e', a.at + length(a.gaps[a.i]) + length(m))))),
-        a -> a.out),
-      x -> named_struct('s', x.s, 'n', -x.e, 'p', r.p, 'l', r.l, 'c', r.c))"""
+    # ends are running sums: those of whole parts of 64 first, then the few steps in a place's own part;
+    # arrays are bound to a name in one-element arrays, as lambdas evaluate whatever else they hold anew
+    total = "aggregate(sequence({a}, {b}), 0, (n, j) -> n + {of}[j])"
+    one = f"""flatten(transform(
+      array(named_struct('g', transform(split(norm, r.r, -1), x -> length(x)), 'm', transform(regexp_extract_all(norm, r.r, 0), x -> length(x)))),
+      v -> if(size(v.m) = 0, cast(array() as array<struct<s:int,n:int,p:int,l:string,c:double>>), flatten(transform(
+        array(named_struct('g', v.g, 'm', v.m, 'ends', transform(sequence(0, (size(v.m) - 1) div 64), q ->
+          {total.format(a="64 * q", b="least(64 * q + 63, size(v.m) - 1)", of="v.g")} + {total.format(a="64 * q", b="least(64 * q + 63, size(v.m) - 1)", of="v.m")}))),
+        w -> flatten(transform(
+          array(named_struct('g', w.g, 'm', w.m, 'before', transform(sequence(0, size(w.ends) - 1), q -> {total.format(a="0", b="q", of="w.ends")} - w.ends[q]))),
+          u -> transform(
+            transform(u.m, (m, i) -> u.before[i div 64] + {total.format(a="i - i % 64", b="i", of="u.g")} + {total.format(a="i - i % 64", b="i", of="u.m")}),
+            (e, i) -> named_struct('s', e - u.m[i], 'n', -e, 'p', r.p, 'l', r.l, 'c', r.c)))))))))"""
     return f"flatten(transform(filter({_rule_array()}, r -> contains(norm, r.k)), r -> {one}))"
 
 
@@ -70,21 +73,23 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     and interval containment have resolved overlaps.  The score is the chance
     that one of the kept detections is right, taken as independent.
 
-    Null and empty texts have no words, no places and score 0; rows come back
-    one for one.  All of it is projections: no shuffle, no Python.  Texts
-    without a root word of any keyword skip the rules.
+    Null and empty texts have no words, no places and score 0; equal places of
+    one label count once for each rule; other columns are not read; an empty
+    table gives no rows; rows, repeated ones too, come back one for one.  All
+    of it is projections: no shuffle, no Python.  Texts without any keyword
+    skip the rules, and a text's hits cost time in proportion to their number.
     """
     separators = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    norm = keyed_texts(docs, doc_id, text).select("doc_id", F.regexp_replace(F.concat(F.lit(" "), F.lower("text"), F.lit(" ")), separators, " ").alias("norm"))
+    norm = keyed_texts(docs, doc_id, text).select("doc_id", F.regexp_replace(F.concat(F.lit(" "), F.translate("text", _UPPER, _UPPER.lower()), F.lit(" ")), separators, " ").alias("norm"))
     phrases = "|".join(PHRASES)
-    gate = F.lit(False)
-    for root in ROOTS:
-        gate = gate | F.contains("norm", F.lit(root))
+    some = F.lit(False)
+    for keyword in gate():
+        some = some | F.contains("norm", F.lit(keyword))
     has = {label: F.contains("norm", F.lit(f" {phrase} ")) for phrase, label in PHRASES.items()}
-    counted = norm.select("doc_id", "norm", (_spaces(F.col("norm")) - 1).cast("long").alias("n_words"), gate.alias("gate"))
-    parts = F.when(F.col("gate") & F.contains("norm", F.lit(" license ")), F.split("norm", f" (?=(?:{phrases}) )", -1))
+    counted = norm.select("doc_id", "norm", (_spaces(F.col("norm")) - 1).cast("long").alias("n_words"), some.alias("gate"))
+    parts = F.when(F.contains("norm", F.lit(" license ")), F.split("norm", f" (?=(?:{phrases}) )", -1))
     state = F.expr(f"if(gate, {resolved(detections())}, null)")
-    base = F.when(F.col("gate"), F.array_compact(F.array(*[F.when(has[x], F.lit(x)) for x in sorted(has)]))).otherwise(F.array().cast("array<string>"))
+    base = F.when(F.contains("norm", F.lit(" license ")), F.array_compact(F.array(*[F.when(has[x], F.lit(x)) for x in sorted(has)]))).otherwise(F.array().cast("array<string>"))
     found = counted.select("doc_id", "n_words", parts.alias("parts"), state.alias("state"), base.alias("base"))
     n_base = F.coalesce(F.size("parts") - 1, F.lit(0))
     n_base = F.when(F.col("parts").isNull(), 0).otherwise(n_base)

@@ -53,3 +53,31 @@ q AS (SELECT rid, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) A
 SELECT doc_id, len(h) // 2 AS n_bytes, cast(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
 FROM d LEFT JOIN t USING (rid) LEFT JOIN q USING (rid)
 """
+
+
+def _op2() -> str:
+    """Licence rules in DuckDB, whose regexes cannot look around: words stand two
+    spaces apart here, so that each match takes a space of its own at either end."""
+    from chorale.llm.license_rules import rules
+
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    wide = lambda r: r.removeprefix("(?<= )").removesuffix("(?= )").replace(" ?", "(?:  )?").replace(" ", "  ").replace("(?:    )?", "(?:  )?")
+    values = ", ".join(f"({p}, {q(l)}, {c!r}::DOUBLE, {q(k)}, {q(' ' + wide(r) + ' ')})" for p, l, c, k, r in rules())
+    return f"""
+WITH rules(p, l, c, k, r) AS (VALUES {values}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_WORDS.format(t="text")}, []) AS ws FROM documents),
+t AS (SELECT rid, ' ' || array_to_string(ws, ' ') || ' ' AS norm, '  ' || array_to_string(ws, '  ') || '  ' AS far FROM d),
+b AS (SELECT rid, i - 1 AS i, CASE WHEN ws[i] = 'mit' AND ws[i + 1] = 'license' THEN 'mit' WHEN ws[i] = 'apache' AND ws[i + 1] = 'license' THEN 'apache' WHEN ws[i] = 'general' AND ws[i + 1] = 'public' AND ws[i + 2] = 'license' THEN 'gpl' END AS label FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+base AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM b WHERE label IS NOT NULL GROUP BY rid),
+m AS (SELECT rid, p, l, c, regexp_extract_all(far, r) AS hits, string_split_regex(far, r) AS gaps FROM t JOIN rules ON contains(norm, k)),
+f AS (SELECT rid, p, l, c, list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: len(x))), 0) AS s, len(hits[i]) AS n FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m)),
+g AS (SELECT rid, p, l, c, s, s + n AS e, row_number() OVER (PARTITION BY rid ORDER BY s, s + n DESC, p, l, c) AS k FROM f),
+kept AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM g AS y WHERE y.rid = g.rid AND y.k < g.k AND y.e >= g.e AND y.p <= g.p)),
+own AS (SELECT rid, count(*) AS n, list(DISTINCT l) AS labels, 1.0::DOUBLE - list_reduce(list_prepend(1.0::DOUBLE, list(1.0::DOUBLE - c ORDER BY k)), lambda a, x: a * x) AS score FROM kept GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(base.labels, own.labels))), ','), '') AS labels, coalesce(own.score, 0.0) AS score, coalesce(own.n, 0) AS n_detections
+FROM d LEFT JOIN base USING (rid) LEFT JOIN own USING (rid)
+"""
+
+
+OP2 = _op2()

@@ -56,4 +56,4 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_licenses, op3_token_counts, op4_toxicity, op5_suffix_buckets, op6_vantage_points, op7_decontaminate, op8_lattice, op9_difference_cover, op10_bpe_round_trip)}
 
 #: The others need a hash, a tokenizer, a learned model or a closure that SQL lacks.
-ORACLES: dict[str, str] = {"op5_suffix_buckets": oracles.OP5, "op6_vantage_points": oracles.OP6, "op7_decontaminate": oracles.OP7, "op9_difference_cover": oracles.OP9}
+ORACLES: dict[str, str] = {"op2_licenses": oracles.OP2, "op5_suffix_buckets": oracles.OP5, "op6_vantage_points": oracles.OP6, "op7_decontaminate": oracles.OP7, "op9_difference_cover": oracles.OP9}
