@@ -17,6 +17,7 @@ import json
 import re
 from bisect import bisect_right
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 
@@ -30,6 +31,10 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = dict(zip([b for b in range(256) if b not in _SHOWN], range(256, 512), strict=False))
 
 
+#: Symbols from which a pre-token is merged by itself.
+LONG = 400
+
+
 class WordBpe:
     """Vocabulary, merge ranks and pre-tokenisation of one tokenizer file."""
 
@@ -122,15 +127,19 @@ class WordBpe:
         to.  A round finds every adjacent pair's rank, each sequence's lowest,
         and merges all places of that pair in all sequences at once; in a run
         of overlapping places every other one is taken, from the left.
-        Sequences without a mergeable pair leave the batch.
+        Sequences without a mergeable pair leave the batch.  Long ones need
+        many rounds, and are merged one at a time by :meth:`_merge_long`.
         """
         n = len(pieces)
         counts = np.zeros(n, dtype=np.int64)
-        if not n:
+        short = [i for i, p in enumerate(pieces) if len(p) <= LONG]
+        for i in set(range(n)).difference(short):
+            counts[i] = self._merge_long(self.symbols(pieces[i]))
+        if not short:
             return counts
-        lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=n)
-        flat = np.array([i for p in pieces for i in self.symbols(p)], dtype=np.int64)
-        seq = np.repeat(np.arange(n), lengths)
+        lengths = np.array([len(pieces[i]) for i in short], dtype=np.int64)
+        flat = np.array([x for i in short for x in self.symbols(pieces[i])], dtype=np.int64)
+        seq = np.repeat(short, lengths)
         never = np.int64(1 << 40)
         while len(flat):
             same = seq[1:] == seq[:-1]
@@ -158,6 +167,62 @@ class WordBpe:
         return counts
 
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (-1: none) and token of each pair of symbols."""
+        key = (left << 20) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.key_rank[at], -1), self.key_token[at]
+
+    def _merge_long(self, symbols: list[int]) -> int:
+        """Symbols left of one sequence; a round costs its own merges, not the sequence.
+
+        Symbols are linked, and the places of each rank wait in a bucket.  The
+        lowest rank's places are merged at once, as in :meth:`merge_count`, and
+        only their neighbours get new ranks.
+        """
+        n = len(symbols)
+        symbol = np.array([*symbols, 0], dtype=np.int64)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        rank, token = np.full(n + 1, -1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[after[places] < n]
+            rank[places], token[places] = self._ranks(symbol[places], symbol[after[places]])
+            places = places[rank[places] >= 0]
+            by = places[np.argsort(rank[places], kind="stable")]
+            for part in np.split(by, np.flatnonzero(np.diff(rank[by])) + 1):
+                if len(part):
+                    r = int(rank[part[0]])
+                    if r not in waiting:
+                        heappush(heap, r)
+                    waiting.setdefault(r, []).append(part)
+
+        wait(np.arange(n))
+        left = n
+        while heap:
+            r = heappop(heap)
+            a = np.unique(np.concatenate(waiting.pop(r)))
+            a = a[rank[a] == r]
+            if not len(a):
+                continue
+            first = np.r_[True, a[1:] != after[a[:-1]]]
+            start = np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
+            a = a[(np.arange(len(a)) - start) % 2 == 0]
+            gone = after[a]
+            symbol[a] = token[a]
+            rank[gone] = -1
+            after[a] = after[gone]
+            before[after[a]] = a
+            left -= len(a)
+            near = np.unique(np.r_[before[a], a])
+            near = near[near >= 0]
+            rank[near] = -1
+            wait(near)
+        return left
+
+
 class Memo(dict):
     """What the first distinct keys gave, for good, and what the current slice adds.
 
