@@ -11,15 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorale.llm.common import keyed_texts, map_arrow, slices
+from chorale.llm.common import cut, keyed_texts, map_arrow, named, slices
 from chorale.llm.decontam import FOLD
 
 #: Labelled rows per class that the model is learned from, by hash order.
 SAMPLE = 10_000
 #: Prior weight, in documents, of a stem's rate in its word's and of the base rate in a stem's.
 WORD_PRIOR, STEM_PRIOR = 2.0, 8.0
-#: Leading bytes that make a stem.
-STEM = 5
+#: Leading bytes that make a stem; bytes of the longest word that is learned.
+STEM, WORD_BYTES = 5, 64
 #: Standard errors taken off a token's log-odds, and what must be left for it to count:
 #: of very many words some are toxic by chance, each a little.
 ERRORS, LEAST = 1.5, 1.5
@@ -128,16 +128,42 @@ class Model:
         """
         return self.rate * best - math.log(max(1.0, self.k * n))
 
+    def judged(self, scores: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
+        """Evidence of a text's token scores, and its significant passages with the evidence of each.
+
+        A text without one has the evidence of its best segment; the others
+        that of all their significant passages together.
+        """
+        n = len(scores)
+        evidence = self.evidence(self.best(scores), n)
+        if evidence < SIGNIFICANT:
+            return evidence, []
+        each = [(a, b, self.evidence(s, n)) for a, b, s in maximal_segments(scores.tolist())]
+        each = [x for x in each if x[2] >= SIGNIFICANT]
+        return self.together([x[2] for x in each]), each
+
+    @staticmethod
+    def together(evidence: list[float]) -> float:
+        """Nats of several passages' joint rarity, by the sum statistic of extreme-value theory.
+
+        The r best, of sum t, are as rare as exp(-t) t^(r-1) / (r! (r-1)!);
+        the r that says most counts, less ln 2 for each step of the choice.
+        """
+        total, most = 0.0, -math.inf
+        for r, e in enumerate(sorted(evidence, reverse=True), 1):
+            total += e
+            most = max(most, total - (r - 1) * math.log(2 * total) + math.lgamma(r + 1) + math.lgamma(r))
+        return most
+
     def score(self, evidence: float) -> float:
         a, b = self.weights
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * max(-20.0, min(60.0, evidence))))))
 
-    def calibrate(self, histogram: dict[float, float], rows: list[tuple[float, int, int, float]]) -> None:
-        """Fit rate and k to clean text, then the weights to both classes.
+    def calibrate(self, histogram: dict[float, float], clean: list[tuple[float, int]]) -> None:
+        """Fit rate and k to clean text that the scores were not learned from.
 
-        ``histogram`` counts token scores of clean documents; ``rows`` are
-        best sum, tokens, label and weight of documents that the scores were
-        not learned from.  The rate solves E[exp(rate * score)] = 1; given it,
+        ``histogram`` counts its token scores; ``clean`` are the best sum and
+        the tokens of its documents.  The rate solves E[exp(rate * score)] = 1; given it,
         k is the maximum-likelihood scale of the extreme-value law.
         """
         x = np.array(list(histogram), dtype=float)
@@ -151,14 +177,17 @@ class Model:
                 mid = (lo + hi) / 2
                 lo, hi = (mid, hi) if (p * np.exp(np.minimum(mid * x, 600))).sum() < 1 else (lo, mid)
             self.rate = min(hi, 4.0)
-        clean = [r for r in rows if r[2] == 0 and r[1]]
+        clean = [r for r in clean if r[1]]
         if clean:
-            self.k = len(clean) / sum(n * math.exp(-self.rate * s) for s, n, _, _ in clean)
-        if {r[2] for r in rows} < {0, 1}:
+            self.k = len(clean) / sum(n * math.exp(-self.rate * s) for s, n in clean)
+
+    def weigh(self, rows: list[tuple[float, int, float]]) -> None:
+        """Fit the link from evidence to score to documents' evidence, label and weight."""
+        if {r[1] for r in rows} < {0, 1}:
             return
-        e = np.clip([self.evidence(s, n) for s, n, _, _ in rows], -20, 60)
-        y = np.array([r[2] for r in rows], dtype=float)
-        w = np.array([r[3] for r in rows])
+        e = np.clip([r[0] for r in rows], -20, 60)
+        y = np.array([r[1] for r in rows], dtype=float)
+        w = np.array([r[2] for r in rows])
         w = w / w.mean()
         a = np.stack([np.ones_like(e), e], axis=1)
         ridge = np.array([1e-4, 1e-3]) * len(e)
@@ -202,7 +231,7 @@ class _Tokens(dict):
 
 def _sample(labels: DataFrame, doc_id: str, toxic: str, per_class: int) -> tuple[DataFrame, dict[int, float]]:
     """Up to ``per_class`` training rows of each class, and each one's weight."""
-    rows = labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
+    rows = labels.select(named(doc_id).alias("doc_id"), named(toxic).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r.toxic: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     parts = [rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
@@ -213,14 +242,21 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """The model, from at most ``per_class`` labelled rows of each class.
 
     Labels count only where crc32(doc_id) mod 3 is not 1; the larger label of
-    a repeated id holds.  Words' document counts by class and half are added
-    up in Spark; scores for the calibration come from the other half's counts.
-    What reaches the driver is bounded by the sample.
+    a repeated id holds, and of rows with one id the smallest text (null is
+    empty) stands for all.  The sample's texts are written once.  Words'
+    document counts by class and half are added up in Spark; scores for the
+    calibration come from the other half's counts.  Words of more than
+    :data:`WORD_BYTES` bytes are known by their stems only.  What reaches the
+    driver is bounded by the sample: a few numbers per document, and words that
+    two toxic documents of it share.  Without labels of both classes scores
+    stay low and even.
     """
     from collections import defaultdict
 
     sample, weight = _sample(labels, doc_id, toxic, per_class)
-    rows = keyed_texts(docs, doc_id, text).join(F.broadcast(sample.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))), "doc_id")
+    rows = keyed_texts(docs, doc_id, text).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = cut(rows.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[tuple[int, int], Counter] = defaultdict(Counter)
@@ -237,7 +273,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     slots = [F.sum(F.when(F.col("slot") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(4)]
     counted = map_arrow(rows, count, "word binary, slot int, n long").groupBy("word").agg(*slots)
     # a word that no two toxic documents of the sample share says nothing alone
-    found = {bytes(r.word): (r.c0, r.c1, r.c2, r.c3) for r in counted.where("c1 + c3 >= 2 or word = X''").collect()}
+    found = {bytes(r.word): (r.c0, r.c1, r.c2, r.c3) for r in counted.where(f"(c1 + c3 >= 2 and octet_length(word) <= {WORD_BYTES}) or word = X''").collect()}
     totals = found.pop(b"", (0, 0, 0, 0))
 
     def model(a: int, b: int) -> Model:
@@ -246,39 +282,54 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         words = {w: pick(c) for w, c in found.items()}
         return Model({w: c for w, c in words.items() if c[0]}, *pick(totals))
 
-    halves = rows.sparkSession.sparkContext.broadcast((model(1, 1), model(0, 0)))  # by half: learned from the other
+    context = rows.sparkSession.sparkContext
+    halves = (model(1, 1), model(0, 0))  # by half: learned from the other
+    shared = context.broadcast(halves)
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(batches: Iterator[pa.RecordBatch], models: tuple) -> Iterator[tuple[Model, np.ndarray, int]]:
         for batch, texts in slices(batches):
-            hist: Counter = Counter()
-            out = []
             for t, y, h in zip(texts, batch.column("toxic").to_pylist(), batch.column("half").to_pylist(), strict=True):
-                m = halves.value[h]
+                m = models[h]
                 words = t.translate(FOLD).split()
-                s = m.scores(words, [m.token(w) for w in words])
-                out.append((m.best(s), len(s), y))
-                if y == 0:
-                    hist.update(np.round(s, 1).tolist())
-            out += [(k, n, 2) for k, n in hist.items()]
-            yield pa.RecordBatch.from_pydict({"x": pa.array([o[0] for o in out], pa.float64()), "n": pa.array([o[1] for o in out], pa.int64()), "kind": pa.array([o[2] for o in out], pa.int32())})
-
-    probed = map_arrow(rows, probe, "x double, n long, kind int")
+                yield m, m.scores(words, [m.token(w) for w in words]), y
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hist: Counter = Counter()
+        out = []
+        for m, s, y in judged(batches, shared.value):
+            if y == 0:
+                out.append((m.best(s), len(s), False))
+                hist.update(np.round(s, 1).tolist())
+        out += [(k, n, True) for k, n in hist.items()]
+        yield pa.RecordBatch.from_pydict({"x": pa.array([o[0] for o in out], pa.float64()), "n": pa.array([o[1] for o in out], pa.int64()), "count": pa.array([o[2] for o in out], pa.bool_())})
+
     hist: Counter = Counter()
-    seen = []
-    for r in probed.collect():
-        if r.kind == 2:
+    clean = []
+    for r in map_arrow(rows, probe, "x double, n long, count boolean").collect():
+        if r["count"]:
             hist[r.x] += r.n
         else:
-            seen.append((r.x, r.n, r.kind, weight[r.kind]))
+            clean.append((r.x, r.n))
     full = model(0, 1)
-    full.calibrate(hist, seen)
+    full.calibrate(hist, clean)
+    for m in halves:
+        m.rate, m.k = full.rate, full.k
+    fitted = context.broadcast(halves)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = [(m.judged(s)[0], y) for m, s, y in judged(batches, fitted.value)]
+        yield pa.RecordBatch.from_pydict({"e": pa.array([o[0] for o in out], pa.float64()), "y": pa.array([o[1] for o in out], pa.int32())})
+
+    full.weigh([(r.e, r.y, weight[r.y]) for r in map_arrow(rows, weigh, "e double, y int").collect()])
     return full
 
 
 def drop_toxic(docs: DataFrame, model: Model, at: float = 0.7, text: str = "text") -> DataFrame:
     """``docs`` without the rows whose text scores ``at`` or more.
 
-    One pass without a shuffle; all columns are kept, whatever their names.
+    Scores are those of :func:`score`.  One pass without a shuffle; all columns
+    are kept, whatever their names; null and empty texts have the score of no
+    evidence; repeated rows go or stay alike; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -289,7 +340,7 @@ def drop_toxic(docs: DataFrame, model: Model, at: float = 0.7, text: str = "text
             keep = []
             for words in memo.split(texts):
                 s = m.scores(words, list(map(memo.__getitem__, words)))
-                keep.append(m.score(m.evidence(m.best(s), len(s))) < at)
+                keep.append(m.score(m.judged(s)[0]) < at)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)
@@ -300,9 +351,10 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     A passage is a significant maximal segment: its first word, the one after
     its last (in words from 0) and its evidence.  The score grows with the
-    evidence of the best one, sums of several being no rarer than it by the
-    union bound.  Null is empty; an empty text has the score of no evidence;
-    rows come back one for one.
+    evidence of all passages together (:meth:`Model.together`); a text without
+    one has that of its best segment.  Null is empty; an empty text has the
+    score of no evidence; other columns are not read; an empty table gives no
+    rows; rows come back one for one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -313,13 +365,9 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             scores, passages = [], []
             for words in memo.split(texts):
                 s = m.scores(words, list(map(memo.__getitem__, words)))
-                e = m.evidence(m.best(s), len(s))
+                e, each = m.judged(s)
                 scores.append(m.score(e))
-                if e < SIGNIFICANT:
-                    passages.append([])
-                    continue
-                each = [(a, b, m.evidence(v, len(s))) for a, b, v in maximal_segments(s.tolist())]
-                passages.append([{"start": a, "end": b, "evidence": v} for a, b, v in each if v >= SIGNIFICANT])
+                passages.append([{"start": a, "end": b, "evidence": v} for a, b, v in each])
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"),
                 "score": pa.array(scores, pa.float64()),
