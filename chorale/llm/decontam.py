@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorale.llm.common import keyed_texts, map_arrow, slices
+from chorale.llm.common import keyed_texts, map_arrow, named, slices
 
 #: Bytes of benchmark text per pass; each pass broadcasts at most about this.
 PASS_BYTES = 4 << 20
@@ -102,9 +103,19 @@ class Windows:
         return np.cumsum(mark[:-1]) > 0, items
 
 
+_built: list = []
+
+
+def _windows(shared, key: str, n: int) -> Windows:
+    """The windows of a broadcast part of the benchmark, built once per Python worker."""
+    if not _built or _built[0] != (key, n):
+        _built[:] = [(key, n), Windows(shared.value, n)]
+    return _built[1]
+
+
 def _chunks(benchmark: DataFrame, item_id: str, text: str, pass_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
     """The benchmark's items, in parts of about ``pass_bytes`` of text."""
-    rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(text).cast("string").alias("text")).where("text is not null")
+    rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(text).cast("string").alias("text")).where("text is not null").distinct()
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-total // pass_bytes))
     for k in range(parts):
@@ -113,10 +124,10 @@ def _chunks(benchmark: DataFrame, item_id: str, text: str, pass_bytes: int) -> I
 
 
 def _scan(rows: DataFrame, items: list[tuple[str, bytes]], n: int, only_hits: bool) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(items)
+    shared, name = rows.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(shared.value, n)
+        windows = _windows(shared, name, n)
         get = windows.ids.__getitem__
         for batch, texts in slices(batches):
             parts = [t.translate(FOLD).split() for t in texts]
@@ -148,10 +159,10 @@ def _scan(rows: DataFrame, items: list[tuple[str, bytes]], n: int, only_hits: bo
 
 def _clean(docs: DataFrame, items: list[tuple[str, bytes]], n: int, share: int, text: str) -> DataFrame:
     """:func:`decontaminate` in one pass, for a benchmark of one part."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(shared.value, n)
+        windows = _windows(shared, name, n)
         get = windows.ids.__getitem__
         for batch, texts in slices(batches, text):
             parts = [(t or b"").translate(FOLD).split() for t in texts]
@@ -173,7 +184,7 @@ def _clean(docs: DataFrame, items: list[tuple[str, bytes]], n: int, share: int,
 
 def _merged(spans: list[list[int]]) -> list[int]:
     out: list[int] = []
-    for a, b in sorted((s[i], s[i + 1]) for s in spans for i in range(0, len(s), 2)):
+    for a, b in sorted((int(s[i]), int(s[i + 1])) for s in spans for i in range(0, len(s), 2)):
         if out and a <= out[-1]:
             out[-1] = max(out[-1], b)
         else:
@@ -204,7 +215,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 13, doc_id: str =
         more = part if more is None else more.unionByName(part)
     if more is None:
         return base
-    merge = F.udf(_merged, "array<long>")
+    merge = F.pandas_udf(lambda spans: spans.map(_merged), "array<long>")
     same = ["doc_id", "key"]
     more = more.groupBy(*same).agg(F.collect_set("spans").alias("s"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("i"))
     a, b = base.alias("a"), more.alias("b")
@@ -240,13 +251,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
 
     A document goes if its hit words are a ``share``-th of its words or more;
     from others the hit words are removed; documents without a hit stay as
-    they are.  All columns are kept.
+    they are.  All columns are kept, whatever their names; null texts stay null
+    and empty ones empty; repeated rows go or stay alike; an empty table stays
+    empty, and an empty benchmark removes nothing.
     """
     if benchmark.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0] <= PASS_BYTES:
         return _clean(docs, next(_chunks(benchmark, "item_id", "text", PASS_BYTES)), n, share, text)
     leaks = find_leaks(docs, benchmark, n, doc_id, text).where(F.size("spans") > 0).select("doc_id", "key", "n_words", "spans").dropDuplicates(["doc_id", "key"])
     # the row is one column, so that no name of it can clash
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("row"))
     whole = F.coalesce(F.col("row")[text].cast("string"), F.lit(""))
     joined = rows.join(leaks, (F.xxhash64(whole) == F.col("key")) & F.col("row")[doc_id].eqNullSafe(F.col("doc_id")), "left")
     hit = F.expr("aggregate(sequence(0, size(spans) div 2 - 1), 0L, (s, i) -> s + spans[2 * i + 1] - spans[2 * i])")
