@@ -6,6 +6,7 @@ import brute
 import corpus_pipeline
 from chorale.llm import registry, toxicity
 from oracle import connect, same
+from test_near_copies import groups
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -25,7 +26,10 @@ def test_pipeline(spark):
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     toxic = {r.doc_id for r in toxicity.score(docs, toxicity.learn(docs, labels)).where("score >= 0.7").collect()}
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id not in toxic]
-    first = {c for _, _, c in brute.near_duplicates(rows)}
+    least = {}
+    for (k, _), g in zip(rows, groups(rows), strict=True):
+        least[g] = min(least.get(g, k), k)
+    first = set(least.values())
     rows = [r for r in rows if r[0] in first]
     counts = {k: n for k, _, n, _ in brute.word_repeats(rows)}
     got = {}

@@ -12,7 +12,9 @@ from chorale.llm import decontam, lattice, license_rules, licenses, token_counts
 def test_licenses(docs, rows, empty):
     rules = license_rules.rules()
     assert len(rules) >= 200
-    assert all(any(root in k or root in f" {k}" or root in r for root in license_rules.ROOTS) for _, _, _, k, r in rules)
+    for *_, k, r in rules:  # each spelling of each rule passes its keyword and the gate
+        for text in license_rules.spellings(r[6:-5]):
+            assert k in f" {text} " and any(g in f" {text} " for g in license_rules.gate())
     got = sorted(repr((r[0], *r[1:7], round(r[7], 9), r[8])) for r in map(tuple, licenses.scan(docs).collect()))
     assert got == sorted(repr((k, *brute.licenses(t, rules))) for k, t in rows)
     assert licenses.scan(empty).count() == 0
@@ -25,6 +27,34 @@ def test_license_overlaps(spark):
     assert licenses.scan(df).first().labels == "apache,apache-2.0,gpl,lgpl,licensed"
 
 
+def test_license_hits_cost_in_proportion(spark):
+    """A megabyte of hits; Unicode is not folded."""
+    import time
+
+    text = "copyleft and " * 77_000
+    df = spark.createDataFrame([(1, text), (2, "\u212aopyleft L\u0130CENSE M\u0130T License")], "doc_id long, text string")
+    licenses.scan(df.where("doc_id = 2")).collect()
+    began = time.perf_counter()
+    one, two = licenses.scan(df).orderBy("doc_id").collect()
+    assert time.perf_counter() - began < 20
+    assert (one.n_words, one.n_detections, one.labels) == (154_000, 77_000, "copyleft")
+    assert two.n_base == 0 and two.labels == ""
+
+
+def test_long_words_count_as_the_library_does():
+    import random
+    import time
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice(a) for _ in range(n)) for a in ("ab", "etaoin", "abcdefghijklmnopqrstuvwxyz") for n in (390, 401, 2000, 20_000)] + ["a" * 5001, "hahaha" * 700]
+    words.append("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)))
+    bpe = wordbpe.load(wordbpe.default_path())
+    began = time.perf_counter()
+    got = bpe.merge_count(words).tolist()
+    assert time.perf_counter() - began < 15
+    assert got == [len(e.ids) for e in bpe.library.encode_batch(words, add_special_tokens=False)]
+
+
 def library():
     return wordbpe.load(wordbpe.default_path()).library
 
@@ -93,6 +123,72 @@ def test_segments():
     assert toxicity.maximal_segments([-1.0, -2.0]) == [] and toxicity.maximal_segments([]) == []
 
 
+def segments(s, a=0, b=None):
+    """Maximal segments by their definition: the best one, then those left and right of it."""
+    b = len(s) if b is None else b
+    best, at = 0.0, None
+    for i in range(a, b):
+        total = 0.0
+        for j in range(i, b):
+            total += s[j]
+            if total > best + 1e-9:
+                best, at = total, (i, j + 1)
+    return [] if at is None else [*segments(s, a, at[0]), (*at, best), *segments(s, at[1], b)]
+
+
+def test_segments_are_the_maximal_ones():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(200):
+        s = [rng.uniform(-2, 1.5) for _ in range(rng.randint(0, 40))]
+        got = toxicity.maximal_segments(s)
+        want = segments(s)
+        assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
+
+
+def test_toxicity_scores(spark, docs, rows):
+    """Scores against a plain version, with a model that was learned and one under which passages abound."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "toxic")
+    twice = docs.unionByName(docs)  # repeated rows of an id are one training document
+    learned, again = toxicity.learn(docs, labels), toxicity.learn(twice, labels)
+    assert learned.word == again.word and learned.weights == pytest.approx(again.weights)
+    eager = toxicity.Model({w.encode(): (9, 1) for w in "w1 w2 w3 word the a of ab and to in".split()}, 20, 400)
+    eager.rate, eager.k, eager.weights = 0.9, 0.05, (-2.0, 0.3)
+
+    def plain(m, text):
+        words = brute.FOLDED.findall(brute.low(text))
+        seen, s = Counter(), []
+        for w in (w.encode() for w in words):
+            odds = m.word[w] if w in m.word else m.stem.get(w[: toxicity.STEM], -toxicity.DRIFT) if len(w) > toxicity.STEM else -toxicity.DRIFT
+            if odds > -toxicity.DRIFT:
+                seen[w] += 1
+                odds = (odds + toxicity.DRIFT) / seen[w] - toxicity.DRIFT
+            s.append(odds)
+        chance = math.log(max(1.0, m.k * len(s)))
+        found = sorted(((m.rate * v - chance, a, b) for a, b, v in segments(s)), reverse=True)
+        significant = [x for x in found if x[0] >= toxicity.SIGNIFICANT]
+        e = found[0][0] if found else -chance
+        for r in range(1, len(significant) + 1):
+            t = sum(x[0] for x in significant[:r])
+            e = max(e, t - math.log(t ** (r - 1) / (math.factorial(r) * math.factorial(r - 1))) - (r - 1) * math.log(2))
+        a, b = m.weights
+        return 1 / (1 + math.exp(-max(-30, min(30, a + b * max(-20, min(60, e)))))), sorted((x[1], x[2]) for x in significant)
+
+    some = [(k, t) for k, t in rows if len((t or "").split()) < 300]
+    # clusters of charged words, far apart
+    some += [(7000 + k, (" calm" * 60).join([" w1 w2 w3 word the to"] * k)) for k in range(1, 6)]
+    df = spark.createDataFrame(some, "doc_id long, text string")
+    many = 0
+    for m in (learned, eager):
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.score, sorted((p.start, p.end) for p in r.passages)) for r in toxicity.score(df, m).collect())
+        want = sorted((k is None, k or 0, *plain(m, t)) for k, t in some)
+        for x, y in zip(got, want, strict=True):
+            assert x[:2] == y[:2] and x[2] == pytest.approx(y[2], abs=1e-9) and x[3] == y[3]
+        many += sum(len(x[3]) > 1 for x in got)
+    assert many > 5
+
+
 def test_toxicity_on_held_out_documents(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
