@@ -22,19 +22,20 @@ def packed(samples: DataFrame, keys: list[str], at: str = "t", value: str = "x")
 def direct_sdf(samples: DataFrame, tapers: np.ndarray, nfft: int, keys: list[str], at: str = "t") -> DataFrame:
     """keys, taper, k, re, im: half spectra of each series under each taper.
 
-    A series as long as the tapers is transformed at once; others are left out.
+    Every series is as long as the tapers; one of another length is an error.
     """
     n = tapers.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             xs = [np.array(x, dtype=float) for x in batch.column("xs").to_pylist()]
-            on = [i for i, x in enumerate(xs) if len(x) == n]
-            if not on:
+            if not xs:
                 continue
-            y = np.fft.rfft(np.stack([xs[i] for i in on])[:, None, :] * tapers, nfft)
+            if wrong := {len(x) for x in xs} - {n}:
+                raise ValueError(f"series of {sorted(wrong)} samples, tapers of {n}")
+            y = np.fft.rfft(np.stack(xs)[:, None, :] * tapers, nfft)
             m, kk, nf = y.shape
-            rep = np.repeat(on, kk * nf)
+            rep = np.repeat(np.arange(m), kk * nf)
             out = {c: batch.column(c).take(pa.array(rep)) for c in keys}
             out["taper"] = pa.array(np.tile(np.repeat(np.arange(kk), nf), m).astype(np.int32))
             out["k"] = pa.array(np.tile(np.arange(nf), m * kk).astype(np.int32))
@@ -82,7 +83,7 @@ def demodulated_power(blocks: DataFrame, tapers: np.ndarray, lam: np.ndarray, nf
         for batch in batches:
             for i, x in enumerate(batch.column("xs").to_pylist()):
                 if len(x) != n:
-                    continue
+                    raise ValueError(f"a block of {len(x)} samples, tapers of {n}")
                 x = np.array(x) - np.mean(x)
                 y = np.fft.rfft(x * tapers, nfft) * np.sqrt(lam)[:, None]
                 p = 2 * np.abs(y.T @ tapers[:, at]) ** 2 / len(lam)
@@ -104,8 +105,15 @@ def upsample(samples: DataFrame, factor: int) -> DataFrame:
                 n = len(y)
                 m = np.zeros(n)
                 if n > 2:
-                    a = np.diag(np.full(n - 2, 4.0)) + np.diag(np.ones(n - 3), 1) + np.diag(np.ones(n - 3), -1)
-                    m[1:-1] = np.linalg.solve(a, 6 * (y[2:] - 2 * y[1:-1] + y[:-2]))
+                    # bends m[i-1] + 4 m[i] + m[i+1]: one sweep down, one back
+                    bend, low = (6 * (y[2:] - 2 * y[1:-1] + y[:-2])).tolist(), [0.25] * (n - 2)
+                    bend[0] /= 4
+                    for j in range(1, n - 2):
+                        low[j] = 1 / (4 - low[j - 1])
+                        bend[j] = (bend[j] - bend[j - 1]) * low[j]
+                    for j in range(n - 4, -1, -1):
+                        bend[j] -= low[j] * bend[j + 1]
+                    m[1:-1] = bend
                 t = np.arange((n - 1) * factor + 1) / factor
                 k = np.minimum(t.astype(int), max(0, n - 2))
                 u = t - k

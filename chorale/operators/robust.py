@@ -34,6 +34,31 @@ def bad_channels(power: DataFrame, value: str = "p", k: float = 4.0, is_log: boo
     return first.select("chan").join(kept, "chan", "left").select("chan", F.coalesce("inlier", F.lit(False)).alias("ok"))
 
 
+def auto_mask(power: DataFrame, value: str = "p", k: float = 3.0, step: float = 0.2) -> DataFrame:
+    """chan and ok: :func:`bad_channels` again and again on the channels left, each fence ``step`` wider.
+
+    It ends when a round drops no channel, or none are left.  What a round
+    keeps is an interval of log power, so that rounds hand on two numbers.
+    """
+    l = F.when(F.col(value) > 0, F.log(value))
+    logs = power.select("chan", l.alias("l"))
+    lo, hi = math.nextafter(math.log(1e-8), math.inf), math.inf
+    before = logs.count()
+    while True:
+        inside = logs.where(F.col("l").between(lo, hi))
+        m = inside.agg(quantile("l", 0.5).alias("m")).first().m
+        if m is None:
+            break
+        lo = max(lo, m - math.log(1e2))
+        a, b = logs.where(F.col("l").between(lo, hi)).agg(quantile("l", 0.25), quantile("l", 0.75)).first()
+        lo, hi = max(lo, a - k * (b - a)), min(hi, b + k * (b - a))
+        left = logs.where(F.col("l").between(lo, hi)).count()
+        if left in (0, before):
+            break
+        before, k = left, k + step
+    return logs.select("chan", F.coalesce(F.col("l").between(lo, hi), F.lit(False)).alias("ok"))
+
+
 def block_std(blocks: DataFrame) -> DataFrame:
     """chan, block_id, s, n: population deviation of each block."""
     return blocks.groupBy("chan", "block_id").agg(F.stddev_pop("x").alias("s"), F.count("x").alias("n"))

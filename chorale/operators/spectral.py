@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chorale.functions.columns import circular
+
 
 def eigenvalues(spark: SparkSession, lam: np.ndarray) -> DataFrame:
     """taper, lam: one row per taper, a handful."""
@@ -60,6 +62,56 @@ def csd(sdf: DataFrame, lam: np.ndarray) -> DataFrame:
     return a.join(b, ["taper", "k"]).where("i <= j").groupBy("i", "j", "k").agg(re.alias("re"), im.alias("im"))
 
 
+def cross_csd(one: DataFrame, two: DataFrame, lam: np.ndarray) -> DataFrame:
+    """i, j, k, re, im: weighted cross spectra of each channel of ``one`` with each of ``two``."""
+    w = eigenvalues(one.sparkSession, lam)
+    a = one.join(F.broadcast(w), "taper").select("taper", "lam", "k", F.col("chan").alias("i"), F.col("re").alias("ar"), F.col("im").alias("ai"))
+    b = two.select("taper", "k", F.col("chan").alias("j"), F.col("re").alias("br"), F.col("im").alias("bi"))
+    mean = lambda c: F.sum(F.col("lam") * c) / F.sum("lam")
+    g = a.join(b, ["taper", "k"]).groupBy("i", "j", "k")
+    return g.agg(mean(F.col("ar") * F.col("br") + F.col("ai") * F.col("bi")).alias("re"), mean(F.col("ai") * F.col("br") - F.col("ar") * F.col("bi")).alias("im"))
+
+
+def _products(sdf: DataFrame, lam: np.ndarray, seed: int | None) -> DataFrame:
+    """i, j, k, taper and weighted products of channels i < j (one of them ``seed``, if given)."""
+    w = eigenvalues(sdf.sparkSession, lam)
+    a = sdf.join(F.broadcast(w), "taper").select("taper", "lam", "k", F.col("chan").alias("i"), F.col("re").alias("ar"), F.col("im").alias("ai"))
+    b = sdf.select("taper", "k", F.col("chan").alias("j"), F.col("re").alias("br"), F.col("im").alias("bi"))
+    pairs = a.join(b, ["taper", "k"]).where("i < j")
+    if seed is not None:
+        pairs = pairs.where((F.col("i") == seed) | (F.col("j") == seed))
+    l, ar, ai, br, bi = map(F.col, ("lam", "ar", "ai", "br", "bi"))
+    return pairs.select("i", "j", "k", "taper", (l * (ar * br + ai * bi)).alias("re"), (l * (ai * br - ar * bi)).alias("im"), (l * (ar * ar + ai * ai)).alias("pa"), (l * (br * br + bi * bi)).alias("pb"))
+
+
+def coherency(sdf: DataFrame, lam: np.ndarray, seed: int | None = None) -> DataFrame:
+    """i, j, k, re, im for i < j: the complex coherence, within the unit circle; NULL without power."""
+    t = _products(sdf, lam, seed).groupBy("i", "j", "k").agg(*[F.sum(c).alias(c) for c in ("re", "im", "pa", "pb")])
+    size = F.sqrt(F.nullif(F.col("pa") * F.col("pb"), F.lit(0.0)))
+    re, im = circular(F.col("re") / size, F.col("im") / size)
+    return t.select("i", "j", "k", re.alias("re"), im.alias("im"))
+
+
+def coherence_interval(sdf: DataFrame, lam: np.ndarray, t: float, fisher: bool = False, seed: int | None = None) -> DataFrame:
+    """i, j, k, msc, lo, hi for i < j: squared coherence and its jackknife interval over tapers.
+
+    ``t`` is the quantile that the standard error is taken by; with ``fisher``
+    the jackknife works on the inverse hyperbolic tangent.  Bounds stay in 0 to 1.
+    """
+    rows = _products(sdf, lam, seed)
+    over = Window.partitionBy("i", "j", "k")
+    total = {c: F.sum(c).over(over) for c in ("re", "im", "pa", "pb")}
+
+    def estimate(re: Column, im: Column, pa: Column, pb: Column) -> Column:
+        msc = F.least((re * re + im * im) / F.nullif(pa * pb, F.lit(0.0)), F.lit(1.0))
+        return F.atanh(F.least(msc, F.lit(1 - 1e-12))) if fisher else msc
+
+    each = rows.select("i", "j", "k", estimate(*total.values()).alias("z"), estimate(*[v - F.col(c) for c, v in total.items()]).alias("out"))
+    g = each.groupBy("i", "j", "k").agg(F.first("z").alias("z"), F.sqrt((F.count("out") - 1) * F.var_pop("out")).alias("e"))
+    back = lambda c: F.least(F.greatest(F.tanh(c) if fisher else c, F.lit(0.0)), F.lit(1.0))
+    return g.select("i", "j", "k", back(F.col("z")).alias("msc"), back(F.col("z") - t * F.col("e")).alias("lo"), back(F.col("z") + t * F.col("e")).alias("hi"))
+
+
 def scaled_csd(cross: DataFrame, fs: float = 1.0, nfft: int | None = None, consistent: bool = False) -> DataFrame:
     """Cross spectra as densities: by the rate, doubled for every bin but DC.
 

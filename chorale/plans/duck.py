@@ -2,7 +2,9 @@
 
 SAMPLES = """
 names AS (SELECT event_type, cast(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS chan FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL)),
-bins AS (SELECT event_type, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 21600000000 AS t, cast(sum(cast(round(value * 100) AS BIGINT)) AS DOUBLE) / 1e2 / count(value) AS m FROM events WHERE value IS NOT NULL GROUP BY ALL),
+origin AS (SELECT epoch_us(date_trunc('day', min(ts))) AS a, epoch_us(max(ts)) AS b FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL),
+span AS (SELECT a, cast(ceil((b - a + 1) / (120 * 21600000000.0)) AS BIGINT) * 21600000000 AS w FROM origin),
+bins AS (SELECT event_type, (epoch_us(ts) - a) // w AS t, cast(sum(cast(round(value * 100) AS BIGINT)) AS DOUBLE) / 1e2 / count(value) AS m FROM events, span WHERE value IS NOT NULL GROUP BY ALL),
 samples AS (SELECT n.chan, g.t, coalesce(b.m, 0.0) AS x FROM names n CROSS JOIN (SELECT unnest(range(120)) AS t) g LEFT JOIN bins b ON b.event_type = n.event_type AND b.t = g.t)"""
 
 DAYS = """

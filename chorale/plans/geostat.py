@@ -89,7 +89,7 @@ def ergodic_covar(s, d):
 
 @query(f"WITH {_E} SELECT dist, round(avg((vi + vj) / 2 - c), 5) + 0.0 AS sv, count(*) AS n FROM er JOIN pairs USING (i, j) GROUP BY dist")
 def fast_semivariogram(s, d):
-    e = spatial.ergodic(tables.field(s, d)).where("i < j").join(F.broadcast(_pairs(s, d)), ["i", "j"])
+    e = spatial.ergodic(tables.field(s, d)).where("i < j").join(_pairs(s, d), ["i", "j"])
     return e.groupBy("dist").agg(R(F.avg((F.col("vi") + F.col("vj")) / 2 - F.col("c")), 5).alias("sv"), F.count("*").alias("n"))
 
 
@@ -193,7 +193,7 @@ def _exp_rows(s, d):
     """dist, l, w: negative log correlation by lag, weighted by its lag's inverse variance."""
     f = tables.field(s, d)
     a, b = f.select(F.col("site").alias("i"), "sample", F.col("v").alias("a")), f.select(F.col("site").alias("j"), "sample", F.col("v").alias("b"))
-    c = a.join(b, "sample").where("i < j").groupBy("i", "j").agg(F.corr("a", "b").alias("c")).join(F.broadcast(_pairs(s, d)), ["i", "j"]).where("c != 0")
+    c = a.join(b, "sample").where("i < j").groupBy("i", "j").agg(F.corr("a", "b").alias("c")).join(_pairs(s, d), ["i", "j"]).where("c != 0")
     l = c.select("dist", "c", (-F.log(F.abs("c"))).alias("l"))
     w = l.groupBy("dist").agg(F.count("*").alias("n"), F.var_pop("l").alias("v"))
     top = w.where("n > 10").agg(F.max("v").alias("top"))

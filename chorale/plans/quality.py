@@ -34,11 +34,11 @@ def full_blocks(s, d):
     return views.blocks_of(tables.samples(s, d), 7).select("chan", "block_id", "pos", R("x").alias("x"))
 
 
-@query(f"WITH {SAMPLES} SELECT chan, t, round(x, 6) + 0.0 AS x FROM samples WHERE t < 1000 // (SELECT count(DISTINCT chan) FROM samples)")
+@query(f"WITH {SAMPLES} SELECT chan, t, round(x, 6) + 0.0 AS x FROM samples WHERE t < 10000000 // (SELECT count(DISTINCT chan) FROM samples)")
 def head_points(s, d):
     x = tables.samples(s, d)
     n = tables.channels(s, d).count()
-    return x.where(F.col("t") < 1000 // max(1, n)).select("chan", "t", R("x").alias("x"))
+    return x.where(F.col("t") < 10_000_000 // max(1, n)).select("chan", "t", R("x").alias("x"))
 
 
 @query(f"WITH {SAMPLES}, p AS (SELECT chan, stddev_pop(x) AS p FROM samples GROUP BY chan) SELECT 'events' AS dataset, chan, p > (SELECT quantile_cont(p, 0.25) FROM p) AS ok FROM p")
@@ -82,17 +82,19 @@ def channel_mask(s, d):
     return robust.bad_channels(_user_power(s, d), k=3.0, lo=0.5, hi=0.8)
 
 
-@query()
+_STEP = "SELECT i + 1, CASE WHEN i = 0 THEN (SELECT count(*) FROM lg) ELSE len(v) END, list_filter(w, lambda x: x BETWEEN q1 - kk * (q3 - q1) AND q3 + kk * (q3 - q1)) FROM (SELECT *, list_aggregate(w, 'quantile_cont', 0.25) AS q1, list_aggregate(w, 'quantile_cont', 0.75) AS q3 FROM (SELECT i, n, v, {k} + 0.2 * i AS kk, list_filter(v, lambda x: x >= m - ln(1e2)) AS w FROM (SELECT *, list_aggregate(v, 'quantile_cont', 0.5) AS m FROM r WHERE len(v) > 0 AND (i = 0 OR len(v) <> n))))"
+_AUTO = "WITH RECURSIVE " + _S + ", qq AS (SELECT quantile_cont(s, 0.25) a, quantile_cont(s, 0.75) b FROM cells), pw AS (SELECT chan, avg(s) AS p FROM cells, qq WHERE s BETWEEN a - {far} * (b - a) AND b + {far} * (b - a) GROUP BY chan), lg AS (SELECT chan, CASE WHEN p > 0 THEN ln(p) END AS l FROM pw), r(i, n, v) AS (SELECT 0, cast(-1 AS BIGINT), coalesce(list(l), []) FROM lg WHERE l > ln(1e-8) UNION ALL " + _STEP + ") SELECT chan, coalesce(list_contains((SELECT v FROM r ORDER BY i DESC LIMIT 1), l), false) AS ok FROM lg"
+
+
+@query(_AUTO.format(k=3, far=15))
 def auto_mask(s, d):
-    """The fence widened until the mask no longer changes."""
-    power = _user_power(s, d)
-    k, before = 3.0, None
-    while True:
-        mask = robust.bad_channels(power, k=k)
-        bad = mask.where("not ok").count()
-        if bad == before or k > 6:
-            return mask
-        before, k = bad, k + 0.2
+    return robust.auto_mask(robust.safe_avg_power(tables.user_days(s, d), k=15.0).select("chan", F.col("power").alias("p")))
+
+
+@query(_AUTO.format(k=0.5, far=15))
+def auto_mask_narrow(s, d):
+    """A fence that takes several rounds."""
+    return robust.auto_mask(robust.safe_avg_power(tables.user_days(s, d), k=15.0).select("chan", F.col("power").alias("p")), k=0.5)
 
 
 @query(f"WITH {DAYS}, p AS (SELECT chan, stddev_pop(x) AS r FROM days GROUP BY chan) SELECT chan, round(r, 6) + 0.0 AS rms FROM p WHERE NOT (r > 40 AND r < 60)")

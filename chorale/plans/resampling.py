@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chorale.functions.columns import rounded
@@ -63,9 +65,51 @@ def bootstrap_se(s, d):
     return resample.estimate(x, n, REPS, F.stddev_pop("x"), None).select(*[R(c).alias(c) for c in ("theta", "mean", "se")])
 
 
-@query(f"WITH {_SITE} SELECT a.pos AS rep, b.pos, round(b.x, 6) + 0.0 AS x FROM sv a JOIN sv b ON a.pos <> b.pos")
+def _ranked(s, d):
+    """The sites' means by place from 0."""
+    return _sites(s, d).withColumn("pos", F.row_number().over(Window.orderBy("pos")) - 1)  # one array's sites
+
+
+_RANKED = _SITE + ", rk AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, x FROM sv)"
+
+
+@query(f"WITH {_RANKED} SELECT a.pos AS rep, b.pos, round(b.x, 6) + 0.0 AS x FROM rk a JOIN rk b ON a.pos <> b.pos")
 def leave_out(s, d):
-    return resample.leave_one_out(_sites(s, d)).select("rep", "pos", R("x").alias("x"))
+    return resample.Jackknife(_ranked(s, d), ["x"]).samples().select("rep", "pos", R("x").alias("x"))
+
+
+_D4 = _RANKED + ", c4 AS (SELECT row_number() OVER (ORDER BY a.pos, b.pos, c.pos, e.pos) - 1 AS rep, a.x + b.x + c.x + e.x AS gone FROM rk a JOIN rk b ON a.pos < b.pos JOIN rk c ON b.pos < c.pos JOIN rk e ON c.pos < e.pos), t4 AS (SELECT rep, (s - gone) / (n - 4) AS th, n, s / n AS theta FROM c4, tot), p4 AS (SELECT *, n / 4.0 * theta - (n - 4) / 4.0 * th AS pv FROM t4)"
+
+
+@query(f"WITH {_D4} SELECT rep, round(th, 6) + 0.0 AS th, round(pv, 6) + 0.0 AS pv FROM p4")
+def jackknife_d4(s, d):
+    """Four places left out, in order."""
+    return resample.Jackknife(_ranked(s, d), ["x"], n_out=4).pseudovals(F.avg("x")).select("rep", R("th").alias("th"), R("pv").alias("pv"))
+
+
+@query(f"WITH {_D4} SELECT round(avg(pv), 5) + 0.0 AS est, round(stddev_pop(pv) / sqrt(count(*) - 1), 6) + 0.0 AS se FROM p4")
+def jackknife_d4_est(s, d):
+    return resample.Jackknife(_ranked(s, d), ["x"], n_out=4).estimate(F.avg("x")).select(R("est", 5).alias("est"), R("se").alias("se"))
+
+
+@query(f"WITH {_RANKED}, lo AS (SELECT a.pos AS rep, median(b.x) AS th FROM rk a JOIN rk b ON a.pos <> b.pos GROUP BY a.pos), md AS (SELECT median(x) AS theta, count(*) AS n FROM rk) SELECT rep, round(th, 6) + 0.0 AS th, round(n * theta - (n - 1) * th, 6) + 0.0 AS pv FROM lo, md")
+def jackknife_median(s, d):
+    """Pseudovalues of a function."""
+    return resample.Jackknife(_ranked(s, d), ["x"]).pseudovals(np.median).select("rep", R("th").alias("th"), R("pv").alias("pv"))
+
+
+@query(f"WITH {_VEC}, th AS (SELECT rep, median(x) AS th FROM rs GROUP BY rep) SELECT round((SELECT median(x) FROM vec), 6) + 0.0 AS theta, round(avg(th), 6) + 0.0 AS mean, round(quantile_cont(th, 0.05), 6) + 0.0 AS lo, round(quantile_cont(th, 0.95), 6) + 0.0 AS hi FROM th")
+def bootstrap_function(s, d):
+    x, _ = _vector(s, d)
+    return resample.Bootstrap(x, ["x"], REPS).estimate(np.median, ci=0.9).select(*[R(c).alias(c) for c in ("theta", "mean", "lo", "hi")])
+
+
+@query(f"WITH {SAMPLES}, dr AS (SELECT rep, t AS pos, {_LCG.format(r='rep', p='t')} % 120 AS idx FROM (SELECT unnest(range(120)) AS t), (SELECT unnest(range(50)) AS rep)), th AS (SELECT rep, v.chan, corr(v.x, v.t) AS th FROM dr JOIN samples v ON v.t = idx GROUP BY ALL) SELECT rep, chan, round(th, 6) + 0.0 AS th FROM th")
+def bootstrap_aligned(s, d):
+    """Two arrays, x and its time, of all channels, resampled along time by the same draws."""
+    x = tables.samples(s, d).select("chan", F.col("t").alias("pos"), "x", F.col("t").cast("double").alias("at"))
+    b = resample.Bootstrap(x, ["x", "at"], REPS, keys=["chan"])
+    return b.all_samples(lambda v, t: np.corrcoef(v, t)[0, 1]).select("rep", "chan", R("th").alias("th"))
 
 
 @query(f"WITH {_SITE} SELECT a.pos AS i, b.pos AS j, round((s - a.x - b.x) / (n - 2), 6) + 0.0 AS th, round(s / 2 - (s - a.x - b.x) / 2, 6) + 0.0 AS pv FROM sv a JOIN sv b ON a.pos < b.pos, tot")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chorale.functions.columns import bw_of, circular, nw_of, rounded
 from chorale.functions.special import chi2_ppf, dpss, t_ppf
-from chorale.operators import numeric, robust, spectral, views
+from chorale.operators import multitaper, numeric, robust, spectral, views
 from chorale.plans.base import query
 from chorale.plans.duck import SAMPLES
 from chorale.sources import tables
@@ -127,14 +127,48 @@ def coherence_msc(s, d):
     return spectral.coherence(spectral.csd(_sdf(s, d), LAM)).select("i", "j", "k", R("msc").alias("msc"))
 
 
+_CO = f"WITH {_SDF}, pr AS (SELECT a.chan AS i, b.chan AS j, a.k, a.taper, lam * (a.re * b.re + a.im * b.im) AS re, lam * (a.im * b.re - a.re * b.im) AS im, lam * (a.re * a.re + a.im * a.im) AS pa, lam * (b.re * b.re + b.im * b.im) AS pb FROM sdf a JOIN sdf b ON a.taper = b.taper AND a.k = b.k AND a.chan < b.chan JOIN eig ON eig.taper = a.taper WHERE a.k > 0), tt AS (SELECT i, j, k, sum(re) AS re, sum(im) AS im, sum(pa) AS pa, sum(pb) AS pb FROM pr GROUP BY ALL)"
+
+
+@query(f"{_CO} SELECT i, j, k, round(re / sqrt(pa * pb), 6) + 0.0 AS re, round(im / sqrt(pa * pb), 6) + 0.0 AS im FROM tt")
+def coherence_complex(s, d):
+    c = spectral.coherency(_sdf(s, d).where("k > 0"), LAM)
+    return c.select("i", "j", "k", R("re").alias("re"), R("im").alias("im"))
+
+
+_Z = "atanh(least(({re} * {re} + {im} * {im}) / ({pa} * {pb}), 1 - 1e-12))"
+_OUT1 = {x: f"(tt.{x} - pr.{x})" for x in ("re", "im", "pa", "pb")}
+
+
+@query(f"{_CO}, zz AS (SELECT i, j, k, {_Z.format(re='re', im='im', pa='pa', pb='pb')} AS z FROM tt), lo1 AS (SELECT pr.i, pr.j, pr.k, {_Z.format(**_OUT1)} AS z FROM pr JOIN tt ON tt.i = pr.i AND tt.j = pr.j AND tt.k = pr.k), er AS (SELECT i, j, k, sqrt({K - 1} * var_pop(z)) AS e FROM lo1 GROUP BY ALL) SELECT i, j, k, round(tanh(z), 5) + 0.0 AS msc, round(greatest(tanh(z - {_T!r}::DOUBLE * e), 0), 5) + 0.0 AS lo, round(tanh(z + {_T!r}::DOUBLE * e), 5) + 0.0 AS hi FROM zz JOIN er USING (i, j, k)")
+def coherence_ci(s, d):
+    """Jackknife over tapers, on Fisher's scale."""
+    c = spectral.coherence_interval(_sdf(s, d).where("k > 0"), LAM, t_ppf(0.975, K - 1), fisher=True)
+    return c.select("i", "j", "k", *[R(x, 5).alias(x) for x in ("msc", "lo", "hi")])
+
+
+@query(f"WITH {_SDF}, xy AS (SELECT a.chan AS i, b.chan AS j, a.k AS k, sum(lam * (a.re * b.re + a.im * b.im)) / sum(lam) AS re, sum(lam * (a.im * b.re - a.re * b.im)) / sum(lam) AS im FROM sdf a JOIN sdf b ON a.taper = b.taper AND a.k = b.k AND a.chan % 2 = 0 AND b.chan % 2 = 1 JOIN eig ON eig.taper = a.taper GROUP BY ALL) SELECT i, j, k, round(re * CASE WHEN k = 0 THEN 1 ELSE 2 END, 5) + 0.0 AS re, round(im * CASE WHEN k = 0 THEN 1 ELSE 2 END, 5) + 0.0 AS im FROM xy")
+def csd_xy(s, d):
+    """Cross spectra of one set of channels with another."""
+    x = _sdf(s, d)
+    c = spectral.scaled_csd(spectral.cross_csd(x.where("chan % 2 = 0"), x.where("chan % 2 = 1"), LAM))
+    return c.select("i", "j", "k", R("re", 5).alias("re"), R("im", 5).alias("im"))
+
+
+@query(f"WITH {_RAW} SELECT chan, k, round(k / {float(N)}, 9) + 0.0 AS freq, round(p, 6) + 0.0 AS p, round(p * {_LO!r}::DOUBLE, 5) + 0.0 AS lo, round(p * {_HI!r}::DOUBLE, 5) + 0.0 AS hi FROM psd")
+def psd_one_call(s, d):
+    e = multitaper.Estimator(N, nw=NW, low_bias=0.9)
+    return e.psd(tables.samples(s, d), ci=0.95).select("chan", "k", R("freq", 9).alias("freq"), R("p").alias("p"), R("lo", 5).alias("lo"), R("hi", 5).alias("hi"))
+
+
 @query(f"WITH {_CSD} SELECT i, j, cr.k, round(greatest((a.p + b.p) / 2 - abs(re), 0.0), 5) + 0.0 AS s FROM cr JOIN own a ON a.c = i AND a.k = cr.k JOIN own b ON b.c = j AND b.k = cr.k WHERE i < j")
 def semiherence(s, d):
     return spectral.semiherence(spectral.csd(_sdf(s, d), LAM)).select("i", "j", "k", R("s", 5).alias("s"))
 
 
-@query(f"WITH {_SDF} SELECT a.k AS f1, b.k AS f2, round((power(sum(a.re * b.re + a.im * b.im), 2) + power(sum(a.im * b.re - a.re * b.im), 2)) / (sum(a.re * a.re + a.im * a.im) * sum(b.re * b.re + b.im * b.im)), 6) + 0.0 AS msc FROM sdf a JOIN sdf b ON a.taper = b.taper AND a.chan = 0 AND b.chan = 1 WHERE a.k < 30 AND b.k < 30 GROUP BY ALL")
+@query(f"WITH {_SDF} SELECT a.k AS f1, b.k AS f2, round((power(sum(a.re * b.re + a.im * b.im), 2) + power(sum(a.im * b.re - a.re * b.im), 2)) / (sum(a.re * a.re + a.im * a.im) * sum(b.re * b.re + b.im * b.im)), 6) + 0.0 AS msc FROM sdf a JOIN sdf b ON a.taper = b.taper AND a.chan = 0 AND b.chan = 1 GROUP BY ALL")
 def dual_spectrum(s, d):
-    return spectral.dual_spectrum(_sdf(s, d), 0, 1, 30).select("f1", "f2", R("msc").alias("msc"))
+    return spectral.dual_spectrum(_sdf(s, d), 0, 1).select("f1", "f2", R("msc").alias("msc"))
 
 
 _STEP = int(N // (2 * NW))
@@ -142,7 +176,7 @@ _G = ", ".join(f"({i}, {pt}, {float(V[i, int((pt + 0.5) * _STEP)] * math.sqrt(LA
 _DM = f"{_SDF}, g(taper, pt, g) AS (VALUES {_G}), dm AS (SELECT chan, k, pt, sum(re * g) AS re, sum(im * g) AS im FROM sdf JOIN g USING (taper) GROUP BY ALL)"
 _D = V * np.sqrt(LAM)[:, None]
 _SCALE = float(N / (np.einsum("im,jm,km->ijk", _D, _D, _D) ** 2).sum())
-_BI = f"{_DM}, tp AS (SELECT a.chan, a.k AS f1, b.k AS f2, {_SCALE!r}::DOUBLE * ((a.re * b.re - a.im * b.im) * c.re + (a.re * b.im + a.im * b.re) * c.im) AS re, {_SCALE!r}::DOUBLE * ((a.re * b.im + a.im * b.re) * c.re - (a.re * b.re - a.im * b.im) * c.im) AS im FROM dm a JOIN dm b ON a.chan = b.chan AND a.pt = b.pt AND b.k <= a.k AND a.k + b.k < 40 JOIN dm c ON c.chan = a.chan AND c.pt = a.pt AND c.k = a.k + b.k WHERE a.k > 0 AND b.k > 0)"
+_BI = f"{_DM}, tp AS (SELECT a.chan, a.k AS f1, b.k AS f2, {_SCALE!r}::DOUBLE * ((a.re * b.re - a.im * b.im) * c.re + (a.re * b.im + a.im * b.re) * c.im) AS re, {_SCALE!r}::DOUBLE * ((a.re * b.im + a.im * b.re) * c.re - (a.re * b.re - a.im * b.im) * c.im) AS im FROM dm a JOIN dm b ON a.chan = b.chan AND a.pt = b.pt AND b.k <= a.k AND a.k + b.k < {N // 2 + 1} JOIN dm c ON c.chan = a.chan AND c.pt = a.pt AND c.k = a.k + b.k WHERE a.k > 0 AND b.k > 0)"
 
 
 def _demod(s, d):
@@ -150,7 +184,7 @@ def _demod(s, d):
 
 
 def _bispectrum(s, d):
-    return spectral.bispectrum(spectral.triple_products(_demod(s, d).where("k > 0"), 40, _SCALE))
+    return spectral.bispectrum(spectral.triple_products(_demod(s, d).where("k > 0"), N // 2 + 1, _SCALE))
 
 
 @query(f"WITH {_DM} SELECT chan, k, pt, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM dm")

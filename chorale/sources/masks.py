@@ -12,7 +12,10 @@ def mask_folder(spark: SparkSession) -> str:
     """A folder for masks beside the shared checkpoints (a temporary one in tests)."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return f"{context.getCheckpointDir()}/masks"
 
 
@@ -26,3 +29,14 @@ def stash(mask: DataFrame, name: str, folder: str | None = None, overwrite: bool
 def lookup(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """dataset, chan and ok as they were stashed."""
     return spark.read.parquet(f"{folder}/dataset={name}").select(F.lit(name).alias("dataset"), "chan", "ok")
+
+
+def toggled(mask: DataFrame, chans: DataFrame) -> DataFrame:
+    """``mask`` (chan, ok) with the state of ``chans`` (chan, repeats counted once) turned over."""
+    flip = chans.select("chan").distinct().withColumn("__flip", F.lit(True))
+    return mask.join(flip, "chan", "left").select("chan", (F.col("ok") != F.coalesce("__flip", F.lit(False))).alias("ok"))
+
+
+def cleared(power: DataFrame, value: str = "p") -> DataFrame:
+    """chan and ok: the mask that keeps every channel with a value."""
+    return power.select("chan", (F.col(value).isNotNull() & ~F.isnan(value)).alias("ok"))

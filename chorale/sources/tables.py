@@ -1,6 +1,7 @@
 """Sources, and the long-form views that the signal operators take.
 
-samples (chan, t, x): events averaged in 6-hour bins, one channel per type.
+samples (chan, t, x): events averaged in 120 bins over all their span, of 6 hours
+or the least multiple of that; one channel per type.
 field (site, sample, v): mean order value by customer's nation and quarter.
 sites (site, row, col, x, y): the nations on a 5-column grid.
 cloud (i, v): embeddings as points.
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BIN_US, BINS = 21_600_000_000, 120
+BIN_US, BINS, DAY_US = 21_600_000_000, 120, 86_400_000_000
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +26,7 @@ def cents_mean(c: str) -> F.Column:
 
 
 def micros(c: str) -> F.Column:
-    """Microseconds since the first day of the event stream."""
+    """Microseconds since the start of 2024, negative before."""
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', {c})")
 
 
@@ -36,9 +37,18 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select(F.posexplode("names").alias("chan", "event_type"))
 
 
+def span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """origin and width (microseconds), one row: the first event's day, and bins that reach the last event."""
+    e = load(spark, sf_dir, "events").where("value is not null and event_type is not null")
+    ends = e.agg(F.min(micros("ts")).alias("a"), F.max(micros("ts")).alias("b"))
+    ends = ends.select((F.floor(F.col("a") / DAY_US) * DAY_US).alias("origin"), "b")
+    return ends.select("origin", (F.ceil((F.col("b") - F.col("origin") + 1) / (BINS * BIN_US)) * BIN_US).alias("width"))
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chan, t, x: every bin of every channel, 0 where it has no event."""
-    means = load(spark, sf_dir, "events").where("value is not null").groupBy("event_type", F.floor(micros("ts") / BIN_US).alias("t")).agg(cents_mean("value").alias("x"))
+    e = load(spark, sf_dir, "events").where("value is not null").crossJoin(F.broadcast(span(spark, sf_dir)))  # one row
+    means = e.groupBy("event_type", F.floor((micros("ts") - F.col("origin")) / F.col("width")).alias("t")).agg(cents_mean("value").alias("x"))
     grid = channels(spark, sf_dir).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long"))))
     return grid.join(means, ["event_type", "t"], "left").select("chan", "t", F.coalesce("x", F.lit(0.0)).alias("x"))
 

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from chorale.functions import special
-from chorale.operators import graph, numeric, resample, robust, spatial, spectral, views
+from chorale.operators import graph, multitaper, numeric, resample, robust, spatial, spectral, views
 from chorale.sources import masks
 
 
@@ -54,9 +54,115 @@ def test_coherence_with_itself_is_one(spark):
     assert len(c) == 33 and all(r.msc == pytest.approx(1, abs=1e-9) for r in c)
 
 
-def test_series_of_another_length_is_left_out(spark):
+def test_series_of_another_length_is_an_error(spark):
     v, _ = special.dpss(32, 2.5)
-    assert numeric.direct_sdf(series(spark, 20), v, 32, ["chan"]).count() == 0
+    with pytest.raises(Exception, match="series of .20. samples, tapers of 32"):
+        numeric.direct_sdf(series(spark, 20), v, 32, ["chan"]).count()
+
+
+def vector(spark, n=10):
+    return spark.createDataFrame([(i, math.sin(0.7 * i) + 0.3 * math.cos(2.1 * i)) for i in range(n)], "pos long, x double")
+
+
+@pytest.mark.parametrize(("n_out", "most", "count"), [(1, None, 10), (4, None, 210), (4, 10, 10)])
+def test_jackknife_replicates(spark, n_out, most, count):
+    j = resample.Jackknife(vector(spark), ["x"], n_out, max_samples=most)
+    got = {}
+    for r in j.samples().collect():
+        got.setdefault(r.rep, set()).add(r.pos)
+    assert len(got) == count == len(set(map(frozenset, got.values()))) and {len(v) for v in got.values()} == {10 - n_out}
+    if not most:
+        out = [tuple(sorted(set(range(10)) - got[k])) for k in sorted(got)]
+        assert out == sorted(out) and out[0] == tuple(range(n_out))
+
+
+@pytest.mark.parametrize("n_out", [1, 4])
+def test_jackknife_bias_and_errors(spark, n_out):
+    """Both definitions of the error agree for one place out; the bias is that of its definition."""
+    j = resample.Jackknife(vector(spark), ["x"], n_out)
+    th = np.array([r.th for r in j.all_samples(np.std).collect()])
+    theta = np.std([r.x for r in vector(spark).collect()])
+    bias = j.bias(F.stddev_pop("x")).first().bias
+    assert bias == pytest.approx((10 - n_out) / n_out * (th.mean() - theta), abs=1e-12)
+    one, raw = j.estimate(np.std).first(), j.estimate(F.stddev_pop("x"), correct_bias=False).first()
+    assert raw.est == pytest.approx(th.mean()) and one.est == pytest.approx(theta - bias)
+    assert j.variance(np.std).first().v == pytest.approx(9 * th.var())
+    if n_out == 1:
+        assert one.se == pytest.approx(raw.se) == pytest.approx(math.sqrt(9 * th.var()))
+
+
+def test_bootstrap_of_axes_and_arguments(spark):
+    rows = [(a, b, c, math.sin(1 + a + 7 * b + 31 * c)) for a in range(10) for b in range(3) for c in range(8)]
+    t = spark.createDataFrame(rows, "a long, b int, c int, x double")
+    for axis, n, keys in (("a", 10, ["b", "c"]), ("b", 3, ["a", "c"]), ("c", 8, ["a", "b"])):
+        boot = resample.Bootstrap(t.withColumnRenamed(axis, "pos"), ["x"], 4, keys)
+        assert boot.n == n and boot.samples().count() == 4 * 240
+    boot = resample.Bootstrap(vector(spark), ["x"], 4, size=8)
+    assert boot.samples().groupBy("rep").count().collect() == boot.samples().groupBy("rep").count().where("count = 8").collect()
+    got = {r.rep: r.th for r in boot.all_samples(np.percentile, q=25).collect()}
+    want = {}
+    for r in boot.samples().collect():
+        want.setdefault(r.rep, []).append(r.x)
+    assert got == {k: pytest.approx(np.percentile(v, 25)) for k, v in want.items()}
+    heavy = resample.Bootstrap(vector(spark), ["x"], 3, proba=spark.createDataFrame([(i, float(i == 3)) for i in range(10)], "pos long, w double"))
+    assert {r.idx for r in heavy.draws().collect()} == {3} and heavy.draws().count() == 30
+
+
+def test_estimator_arguments():
+    e = multitaper.Estimator(100, bw=0.07, fs=2.0, nfft="auto", low_bias=False)
+    assert (e.nw, e.nfft, len(e.lam)) == (2.0, 128, 3) and e.bandwidth == pytest.approx(0.08)
+    assert multitaper.Estimator(64).nfft == 64 and multitaper.Estimator(64).nw == 4
+
+
+def test_estimator_intervals_hold_the_spectrum(spark):
+    e = multitaper.Estimator(64, nw=2.5, low_bias=0.9)
+    x = series(spark)
+    for kind in ({"ci": 0.95}, {"ci": 0.95, "adaptive": True}, {"jackknife": True}):
+        got = e.psd(x, **kind).where("k > 0").collect()
+        assert len(got) == 64 and all(r.lo < r.hi for r in got) and sum(r.lo <= r.p <= r.hi for r in got) > 50
+    assert e.csd(x).count() == 3 * 33 and e.csd(x.where("chan = 0"), x).where("i = 0").count() == 2 * 33
+
+
+def test_coherence_interval_and_seed(spark):
+    v, lam = special.dpss(64, 2.5, 0.9)
+    sdf = numeric.direct_sdf(spectral.detrend(series(spark, chans=3), ["chan"]), v, 64, ["chan"]).where("k > 0")
+    t = special.t_ppf(0.975, len(lam) - 1)
+    for fisher in (False, True):
+        got = spectral.coherence_interval(sdf, lam, t, fisher).collect()
+        assert len(got) == 3 * 32 and all(0 <= r.lo <= r.msc <= r.hi <= 1 for r in got)
+    assert {(r.i, r.j) for r in spectral.coherency(sdf, lam, seed=1).collect()} == {(0, 1), (1, 2)}
+    assert all(r.re**2 + r.im**2 <= 1 + 1e-12 for r in spectral.coherency(sdf, lam).collect())
+
+
+def test_auto_mask_only_shrinks(spark):
+    rng = np.random.default_rng(3)
+    power = [*np.exp(rng.normal(0, 0.1, 60)), *np.exp(rng.normal(0, 0.9, 12)), 1e-12, 3e4]
+    df = spark.createDataFrame([(i, float(p)) for i, p in enumerate(power)] + [(90, None)], "chan int, p double")
+    keep = np.log(power)
+    alive = np.flatnonzero(keep > math.log(1e-8))
+
+    def step(at, k):
+        at = at[keep[at] >= np.median(keep[at]) - math.log(1e2)]
+        a, b = np.percentile(keep[at], [25, 75])
+        return at[(keep[at] >= a - k * (b - a)) & (keep[at] <= b + k * (b - a))]
+
+    before, k, rounds = 75, 1.0, 0
+    while True:
+        alive, rounds = step(alive, k), rounds + 1
+        if len(alive) in (0, before):
+            break
+        before, k = len(alive), k + 0.2
+    assert rounds > 2
+    assert {r.chan for r in robust.auto_mask(df, k=1.0).where("ok").collect()} == set(alive.tolist())
+    assert robust.auto_mask(df.where("false")).count() == 0
+
+
+def test_masks_are_toggled_and_cleared(spark):
+    m = spark.createDataFrame([(1, True), (2, False), (3, True)], "chan int, ok boolean")
+    some = spark.createDataFrame([(1,), (2,), (2,), (9,)], "chan int")
+    assert {r.chan: r.ok for r in masks.toggled(m, some).collect()} == {1: False, 2: True, 3: True}
+    p = spark.createDataFrame([(1, 2.0), (2, None), (3, float("nan"))], "chan int, p double")
+    assert {r.chan: r.ok for r in masks.cleared(p).collect()} == {1: True, 2: False, 3: False}
 
 
 def test_jackknife_errors_agree(spark):
@@ -177,5 +283,11 @@ def test_upsample_passes_through_samples(spark):
     assert all(got[float(r.t)] == pytest.approx(r.x) for r in x.collect())
 
 
+def test_long_splines(spark):
+    x = spark.createDataFrame([(0, t, math.sin(t / 50)) for t in range(20_000)], "chan int, t long, x double")
+    got = numeric.upsample(x, 2).where("t > 100 and t < 19800").collect()
+    assert max(abs(r.x - math.sin(r.t / 50)) for r in got) < 1e-6
+
+
 def test_lloyd_bins():
     assert spatial.lloyd([1.0, 1.1, 5.0, 5.2], 3.0) == pytest.approx([1.05, 5.1])
