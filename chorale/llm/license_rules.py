@@ -256,7 +256,18 @@ def rules() -> list[tuple[int, str, float, str, str]]:
     return out
 
 
+#: Rare in other text: what a rule is gated by if all its spellings have one.
+RARE = (" licen", "spdx", " gpl", " cc by ", " copyright ", "redistribution")
+
+
+@lru_cache(maxsize=1)
 def gate() -> list[str]:
-    """The fewest keywords of which every rule's keyword holds one; a text without any has no detection."""
-    keys = sorted({k for *_, k, _ in rules()})
-    return [k for k in keys if not any(o != k and o in k for o in keys)]
+    """The fewest strings of which every spelling of every rule holds one; a text without any has no detection.
+
+    A rule gives its first of :data:`RARE`, or its keyword.
+    """
+    keys = set()
+    for *_, keyword, regex in rules():
+        texts = [f" {x} " for x in spellings(regex.removeprefix("(?<= )").removesuffix("(?= )"))]
+        keys.add(next((r for r in RARE if all(r in x for x in texts)), keyword))
+    return sorted(k for k in keys if not any(o != k and o in k for o in keys))

@@ -45,7 +45,8 @@ def detections() -> str:
           u -> transform(
             transform(u.m, (m, i) -> u.before[i div 64] + {total.format(a="i - i % 64", b="i", of="u.g")} + {total.format(a="i - i % 64", b="i", of="u.m")}),
             (e, i) -> named_struct('s', e - u.m[i], 'n', -e, 'p', r.p, 'l', r.l, 'c', r.c)))))))))"""
-    return f"flatten(transform(filter({_rule_array()}, r -> contains(norm, r.k)), r -> {one}))"
+    keys = ", ".join(_quoted(k) for k in sorted({k for *_, k, _ in rules()}))
+    return f"flatten(flatten(transform(array(filter(array({keys}), k -> contains(norm, k))), here -> transform(filter({_rule_array()}, r -> array_contains(here, r.k)), r -> {one}))))"
 
 
 def resolved(found: str) -> str:
