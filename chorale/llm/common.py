@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -68,19 +70,49 @@ def keyed_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 #: Bytes of an Arrow batch, about; a row larger than that is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+
+#: By module, how to let go of what it keeps in a Python worker from one task to the next.
+_keepers: dict[str, Callable[[], None]] = {}
+
+
+def keeps(module: str, forget: Callable[[], None]) -> None:
+    """Have ``forget`` drop what ``module`` keeps in a Python worker, once a task of another module runs there."""
+    _keepers[module] = forget
+
+
+def make_room(module: str) -> None:
+    """Drop what modules other than ``module`` keep in this process, and give free memory back to the system.
+
+    Workers go from one operator to the next, and share an executor's memory
+    with each other and its JVM.
+    """
+    for owner, forget in _keepers.items():
+        if owner != module:
+            forget()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with this package importable on the executors.
 
     Batches are bounded in bytes, by the session's setting, as texts are of
-    very different lengths; both sides of the pipe hold whole batches.
+    very different lengths; both sides of the pipe hold whole batches.  Before
+    and after a task the worker lets go of what it does not need.
     """
+    module = fn.__module__
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(module)
+        yield from fn(batches)
+        make_room(module)
+
     spark = df.sparkSession
     workers_import(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(lean, schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

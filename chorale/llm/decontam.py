@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorale.llm.common import keyed_texts, map_arrow, named, slices
+from chorale.llm.common import keeps, keyed_texts, map_arrow, named, slices
 
 #: Bytes of benchmark text per pass; each pass broadcasts at most about this.
 PASS_BYTES = 4 << 20
@@ -104,6 +104,7 @@ class Windows:
 
 
 _built: list = []
+keeps(__name__, _built.clear)
 
 
 def _windows(shared, key: str, n: int) -> Windows:

@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from chorale.llm.blocks import Block, Buckets, ask, bits, carried, digests, from_planes, growth, pack, planes, runs, split, unpack
-from chorale.llm.common import cut, map_arrow
+from chorale.llm.common import cut, keeps, map_arrow
 
 #: A perfect difference set: every difference modulo 31 is one of two of its members.
 COVER, PERIOD = (1, 5, 11, 24, 25, 27), 31
 #: Words of the windows that count.
 WINDOW = 50
+#: Bytes of text whose words are hashed at a time.
+SLICE = 128 << 10
 #: Hashes of a bucket, on average.
 BUCKET_KEYS = 500_000
 
@@ -36,12 +38,19 @@ _POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2 ** 64."""
     if len(_POWERS[0]) < n:
-        m = -(-n // (1 << 18)) << 18
+        m = -(-n // (1 << 16)) << 16
         with np.errstate(over="ignore"):
             _POWERS[:] = [np.r_[np.uint64(1), np.cumprod(np.full(m, np.uint64(x)))] for x in (_ODD, pow(_ODD, -1, 1 << 64))]
     return _POWERS[0], _POWERS[1]
 
 
+def _forget() -> None:
+    _POWERS[:] = [p[:1].copy() for p in _POWERS]
+
+
+keeps(__name__, _forget)
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h ^= h >> np.uint64(32)
@@ -55,15 +64,16 @@ def _rolling(codes: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         out = np.empty(len(codes) + 1, dtype=np.uint64)
         out[0] = 0
-        np.cumsum(codes * _powers(len(codes) + 1)[0][: len(codes)], dtype=np.uint64, out=out[1:])
+        np.multiply(codes, _powers(len(codes) + 1)[0][: len(codes)], out=out[1:])
+        np.cumsum(out[1:], dtype=np.uint64, out=out[1:])
     return out
 
 
 class Words:
     """The words of a block: their hashes, and where each document's lie.
 
-    All of it is array arithmetic on the block's bytes; no word becomes an
-    object of its own.
+    All of it is array arithmetic on the block's bytes, hashed a slice of
+    words at a time; no word becomes an object of its own.
     """
 
     def __init__(self, block: Block):
@@ -82,11 +92,17 @@ class Words:
         self.starts = self.ends - self.sizes
         # documents without an id come after all that have one
         self.order = np.where(block.named, block.ids, np.iinfo(np.int64).max)
-        prefix = _rolling(_CODE[text])
-        self.undo = _powers(len(text) + 1)[1]
-        with np.errstate(over="ignore"):
-            codes = (prefix[stop] - prefix[first]) * self.undo[first] + (stop - first).astype(np.uint64)
+        codes = np.empty(self.n, dtype=np.uint64)
+        a = 0
+        while a < self.n:
+            b = max(a + 1, int(np.searchsorted(stop, first[a] + SLICE, side="right")))
+            base = first[a]
+            prefix = _rolling(_CODE[text[base : stop[b - 1]]])
+            with np.errstate(over="ignore"):
+                codes[a:b] = (prefix[stop[a:b] - base] - prefix[first[a:b] - base]) * _powers(len(prefix))[1][first[a:b] - base] + (stop[a:b] - first[a:b]).astype(np.uint64)
+            a = b
         self.prefix = _rolling(_mixed(codes))
+        self.undo = _powers(self.n + 1)[1]
 
     def runs_of(self, at: np.ndarray, length: int) -> np.ndarray:
         """Hashes of the ``length`` words from each of ``at``; unlike runs may have one hash."""

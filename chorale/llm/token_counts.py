@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from chorale.llm import wordbpe
-from chorale.llm.common import keyed_texts, map_arrow, slices
+from chorale.llm.common import keeps, keyed_texts, map_arrow, slices
 
 #: Distinct words whose counts a Python worker remembers; a memo only.
 MEMO = 200_000
@@ -16,6 +16,15 @@ MEMO = 200_000
 _memo: dict[str, tuple[wordbpe.Memo, wordbpe.Memo]] = {}
 
 
+def _forget() -> None:
+    if _memo:
+        _memo.clear()
+        wordbpe.load.cache_clear()
+
+
+keeps(__name__, _forget)
+
+
 def _known(path: str, texts: list[list[bytes]]) -> dict[bytes, int]:
     """The memo, with every word of ``texts`` in it."""
     memo, sizes = _memo.setdefault(path, (wordbpe.Memo(MEMO), wordbpe.Memo(MEMO)))

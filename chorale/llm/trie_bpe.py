@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chorale.llm import wordbpe
-from chorale.llm.common import keyed_texts, map_arrow, slices
+from chorale.llm.common import keeps, keyed_texts, map_arrow, slices
 
 #: Distinct words whose encodings a Python worker remembers; a memo only.
 MEMO = 200_000
@@ -134,6 +134,22 @@ class TrieEncoder:
 _encoders: dict[str, TrieEncoder] = {}
 
 
+def _forget() -> None:
+    if _encoders:
+        _memo.clear()
+        _encoders.clear()
+        wordbpe.load.cache_clear()
+
+
+keeps(__name__, _forget)
+
+
+def _close(path: str) -> None:
+    """Let go of the last slice's words, in the worker's own memo."""
+    if path in _memo:
+        _memo[path].close()
+
+
 def _known(path: str, texts: list[list[bytes]]) -> dict[bytes, tuple[int, bytes, bytes]]:
     """The memo, with every word of ``texts``: tokens, id bytes, decoded."""
     memo = _memo.setdefault(path, wordbpe.Memo(MEMO))
@@ -226,8 +242,7 @@ def digests(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id
             if with_ids:
                 out["ids"] = _lists(ids)
             yield pa.RecordBatch.from_pydict(out)
-        if path in _memo:
-            _memo[path].close()
+        _close(path)
 
     rows = keyed_texts(docs, doc_id, text)
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
