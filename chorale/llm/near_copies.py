@@ -1,4 +1,8 @@
-"""Near-copies by exact Jaccard similarity of word shingles, an exact prefix-filtered join."""
+"""Near-copies by exact Jaccard similarity of word shingles.
+
+Candidates come from SimHash fingerprints, by anchor-point covering, and for
+what lies too far apart for fingerprints from an exact prefix-filtered join.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +15,13 @@ from pyspark.sql import functions as F
 
 from chorale.llm.common import cut, map_arrow, slices
 from chorale.llm.components import components
-from chorale.llm.simhash import _shingle_hashes
+from chorale.llm.simhash import _shingle_hashes, fold, linked_pairs
 
 #: Words of a shingle.  Two texts link where 5 * shared >= 4 * all, similarity 0.8.
 WORDS = 5
+#: Differing bits of fingerprints that make a candidate.  Up to simhash.THRESHOLD none is missed; beyond, those that
+#: share an anchor's key are met.  Wider, chance would chain unlike texts of a large corpus.
+REACH = 8
 #: Texts, about, from which common shingles are learned.  They only order shingles; no result depends on them.
 SAMPLE = 4_000
 #: Shingles held to be common at most.
@@ -56,8 +63,11 @@ def bins(s: np.ndarray) -> np.ndarray:
     return np.minimum(count, 255).astype(np.uint8)
 
 
-def maybe_similar(rows: list[np.ndarray], size: np.ndarray):
-    """Which of ``rest`` may be similar to ``a``: symmetric difference up to a ninth of both sizes."""
+def maybe_similar(rows: list[np.ndarray], size: np.ndarray, side: np.ndarray | None = None):
+    """Which of ``rest`` may be similar to ``a``: symmetric difference up to a ninth of both sizes.
+
+    With ``side``, only those of another side than ``a`` count.
+    """
     level = np.array([len(r).bit_length() - 1 for r in rows])
     place = np.zeros((18, len(rows)), dtype=np.int64)
     at_level: dict[int, np.ndarray] = {}
@@ -69,6 +79,8 @@ def maybe_similar(rows: list[np.ndarray], size: np.ndarray):
 
     def near(a: int, rest: np.ndarray) -> np.ndarray:
         hit = 5 * np.minimum(size[rest], size[a]) >= 4 * np.maximum(size[rest], size[a])
+        if side is not None:
+            hit &= side[rest] != side[a]
         for k in (int(level[a]) - 1, int(level[a])):
             some = np.flatnonzero(hit & ((level[rest] == k) if k < level[a] else (level[rest] >= k)))
             if len(some):
@@ -154,8 +166,17 @@ def _common(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return key[order], np.array([r[1] for r in found], dtype=np.int64)[order]
 
 
-def _candidates(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """Pairs of nodes (a, b) whose groups hold all similar pairs."""
+def _fingerprinted(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node and near, its group by fingerprints within :data:`REACH`, and pairs (a, b) that span these groups."""
+    near = cut(components(linked_pairs(cut(nodes.select("fp").distinct()), most=REACH)).withColumnRenamed("node", "fp"))
+    grouped = cut(nodes.select("node", "fp").join(near, "fp", "left").select("node", F.coalesce("component", "fp").alias("near")))
+    # a group may hold many nodes: both sides of the join are plain exchanges, whose skewed parts are split
+    low = grouped.groupBy("near").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("near", "a").repartition("near", "a")
+    return grouped, grouped.select("near", F.col("node").alias("b")).join(low, "near").where("a != b").select("a", "b")
+
+
+def _candidates(texts: DataFrame, nodes: DataFrame, grouped: DataFrame, n: int) -> DataFrame:
+    """Pairs of nodes (a, b) of unlike near groups that, with these groups, hold all similar pairs."""
     common, count = _common(texts, n)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,9 +225,11 @@ def _candidates(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for group in _runs(batches, ["gid"]):
-            node, size = group.column("node").to_numpy(), group.column("size").to_numpy()
+            node, size, side = (group.column(c).to_numpy() for c in ("node", "size", "near"))
+            if (side == side[0]).all():
+                continue
             rows = [np.frombuffer(x, np.uint8) for x in group.column("bins").to_pylist()]
-            out += [(int(node[a]), int(node[b])) for a, b in _span(maybe_similar(rows, size), len(node))]
+            out += [(int(node[a]), int(node[b])) for a, b in _span(maybe_similar(rows, size, side), len(node))]
             if len(out) > 10_000:
                 yield _pairs(out)
                 out = []
@@ -214,7 +237,7 @@ def _candidates(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
 
     dealt = map_arrow(texts.select("text"), keys, "key long, node long").repartition("key").sortWithinPartitions("key")
     met = cut(map_arrow(dealt, groups, "gid long, node long").distinct())
-    full = met.join(nodes.select("node", "size", "bins"), "node").repartition("gid").sortWithinPartitions("gid")
+    full = met.join(nodes.select("node", "size", "bins"), "node").join(grouped, "node").repartition("gid").sortWithinPartitions("gid")
     return map_arrow(full, search, "a long, b long").distinct()
 
 
@@ -243,10 +266,12 @@ def keep_first(docs: DataFrame, n: int = WORDS, doc_id: str = "doc_id", text: st
 
     Two texts link where the Jaccard similarity of their sets of lower-cased
     ``n``-word shingles is 0.8 or more, and groups are the components of the
-    links.  The join is exact, up to clashes of 64-bit hashes: sets that similar
-    share a shingle among the first fifth of each in any common order; what
-    meets so goes on if counts of shingles by range allow it, and whole sets
-    are compared.  Null and empty texts are copies of each other.  All columns
+    links.  SimHash fingerprints of the sets, dealt out by anchors, name most
+    near-copies as candidates; the others, of unlike fingerprints, come from a
+    join that is exact up to clashes of 64-bit hashes: sets that similar
+    share a shingle among the first fifth of each in any common order, and what
+    meets so goes on if counts of shingles by range allow it.  Whole sets
+    of candidates are compared; no fingerprint decides.  Null and empty texts are copies of each other.  All columns
     are kept.  A row is known by its id and text: rows with one id and unlike
     texts are different documents, rows equal in both are copies.  Rows without
     an id take part and come last in their group.
@@ -268,13 +293,14 @@ def _firsts(texts: DataFrame, n: int) -> DataFrame:
             found = [shingle_set(t, n) for t in part]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "digest": batch.column("digest"), "node": pa.array([_node(s) for s in found], pa.int64()),
-                "size": pa.array([len(s) for s in found], pa.int64()), "bins": pa.array([bins(s).tobytes() for s in found], pa.binary()),
+                "size": pa.array([len(s) for s in found], pa.int64()), "fp": pa.array(np.array([fold(s) for s in found], dtype=np.uint64).view(np.int64)), "bins": pa.array([bins(s).tobytes() for s in found], pa.binary()),
             })
 
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
-    rows = map_arrow(texts.select("doc_id", "digest", "text"), sets, f"doc_id {kind}, digest long, node long, size long, bins binary")
-    nodes = cut(rows.groupBy("node").agg(F.min(order).alias("first"), F.first("size").alias("size"), F.first("bins").alias("bins")))
-    groups = components(_candidates(texts, nodes, n))
+    rows = map_arrow(texts.select("doc_id", "digest", "text"), sets, f"doc_id {kind}, digest long, node long, size long, fp long, bins binary")
+    nodes = cut(rows.groupBy("node").agg(F.min(order).alias("first"), *[F.first(c).alias(c) for c in ("size", "fp", "bins")]))
+    grouped, near = _fingerprinted(nodes)
+    groups = components(near.unionByName(_candidates(texts, nodes, grouped, n)))
     linked = components(_verified(texts, nodes, groups, n))
     named = nodes.join(linked, "node", "left").select(F.coalesce("component", "node").alias("component"), "first")
     return named.groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.digest")

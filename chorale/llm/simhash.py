@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorale.llm.common import cut, keyed_texts, map_arrow, slices
+from chorale.llm.common import cut, keeps, keyed_texts, map_arrow, slices
 from chorale.llm.components import components
 
 #: Differing bits that still link.  The blocks and codes below are for this number.
@@ -36,9 +36,11 @@ def _shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
 def fingerprint(text: bytes, n: int = 4) -> int:
     """The 64-bit SimHash of a text's ``n``-word shingles, repeats included."""
     words = text.lower().split()
-    if not words:
-        return 0
-    h = _shingle_hashes(words, n)
+    return fold(_shingle_hashes(words, n)) if words else 0
+
+
+def fold(h: np.ndarray) -> int:
+    """The 64-bit fingerprint of hashes: a bit is set if it is in over half of them."""
     bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     total = np.zeros(64, dtype=np.int64)
     for a in range(0, len(bits), 255):
@@ -85,6 +87,8 @@ def _code() -> tuple[np.ndarray, list[np.ndarray]]:
     return anchor, near
 
 
+keeps(__name__, _code.cache_clear)
+
 #: Parts of the 48 bits outside a block (low bit, width): 4 for three differing bits at most, 5 for four.
 _FOUR = [(0, 12), (12, 12), (24, 12), (36, 12)]
 _FIVE = [(0, 10), (10, 10), (20, 10), (30, 9), (39, 9)]
@@ -153,9 +157,12 @@ def links(left: np.ndarray, right: np.ndarray | None = None, most: int = THRESHO
     return [(int(u[a].astype(np.int64)), int(u[b].astype(np.int64))) for a, b in out]
 
 
-def linked_pairs(distinct: DataFrame, group: int = GROUP) -> DataFrame:
+def linked_pairs(distinct: DataFrame, group: int = GROUP, most: int = THRESHOLD) -> DataFrame:
     """Pairs a, b of fingerprints (column fp, distinct) that span all links.
 
+    With ``most`` above :data:`THRESHOLD`, links of more bits than that are
+    found as well where both fingerprints have an anchor's key in common.
+
     Every fingerprint goes to its anchors' keys; sorted by key, each anchor's
     group is compared in one task without pairing up a cluster's members.  A
     group of more than ``group`` entries is passed on in parts instead, and
@@ -188,7 +195,7 @@ def linked_pairs(distinct: DataFrame, group: int = GROUP) -> DataFrame:
             if part and size:
                 yield from pass_on()
             elif size > 1:
-                pairs += [(-1, -1, a, b) for a, b in links(np.unique(np.concatenate(held)).view(np.uint64))]
+                pairs += [(-1, -1, a, b) for a, b in links(np.unique(np.concatenate(held)).view(np.uint64), most=most)]
             held, size, part = [], 0, 0
             if len(pairs) > 10_000:
                 yield out(pairs)
@@ -233,7 +240,7 @@ def linked_pairs(distinct: DataFrame, group: int = GROUP) -> DataFrame:
             if at:
                 left = np.unique(np.array(held.get(at[1], []), dtype=np.int64)).view(np.uint64)
                 right = np.unique(np.array(held.get(at[2], []), dtype=np.int64)).view(np.uint64)
-                got = links(left) if at[1] == at[2] else links(left, right)
+                got = links(left, most=most) if at[1] == at[2] else links(left, right, most)
                 yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in got], pa.int64()), "b": pa.array([b for _, b in got], pa.int64())})
 
         for batch in batches:

@@ -124,3 +124,31 @@ def test_repeated_and_missing_ids(spark, rows):
     where = dict(zip(full, group, strict=True))
     assert sorted(where[r] for r in kept) == sorted(of)
     assert all(k == min((i for i in of[where[k, t]] if i is not None), default=None) for k, t in kept)
+
+
+def test_fingerprints_find_near_copies_and_decide_none(spark, copies, monkeypatch):
+    """The stage's SimHash step by itself: with no other candidates, exactly the links within its bits remain."""
+    rng = random.Random(3)
+    long = [f"v{rng.randint(0, 10**6)}" for _ in range(3000)]
+    own = copies[:150] + [(9000, " ".join(long)), (9001, " ".join(long[:-3])), (9002, " ".join(reversed(long))), (9003, " ".join(long[::2]))]
+    sets = {}
+    for k, t in own:
+        s = near_copies.shingle_set((t or "").encode())
+        sets.setdefault(s.tobytes(), (k, s))
+    fold = near_copies.fold
+    monkeypatch.setattr(near_copies, "_candidates", lambda texts, *_: texts.sparkSession.createDataFrame([], "a long, b long"))
+    df = spark.createDataFrame(own, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in near_copies.keep_first(df).collect()}
+    assert 9000 in kept and 9001 not in kept and {9002, 9003} <= kept
+    assert len(kept) < len(sets)
+    # every pair within the covering's own bits that is alike was linked: one of the two is gone
+    found = list(sets.values())
+    links = [(a, b) for i, (a, s) in enumerate(found) for b, t in found[:i] if (fold(s) ^ fold(t)).bit_count() <= 4 and len(s) and 9 * len(np.intersect1d(s, t)) >= 4 * (len(s) + len(t))]
+    assert links and not any({a, b} <= kept for a, b in links)
+    # fingerprints alone link nothing: were all equal, the groups would still be those of the sets
+    monkeypatch.undo()
+    monkeypatch.setattr(near_copies, "_fingerprinted", lambda nodes: (nodes.select("node", near_copies.F.lit(0).cast("long").alias("near")), nodes.crossJoin(nodes.agg(near_copies.F.min("node").alias("a"))).where("a != node").selectExpr("a", "node as b")))
+    least = {}
+    for (k, _), g in zip(own, groups(own), strict=True):
+        least[g] = min(least.get(g, k), k)
+    assert sorted(r.doc_id for r in near_copies.keep_first(df).collect()) == sorted(least.values())
