@@ -137,10 +137,12 @@ class Buckets:
 
 
 def ask(blocks: DataFrame, emit: Callable[[dict], Iterator[tuple[int, bytes]]], settle: Callable[[list[bytes]], list[bytes]], columns: list[str]) -> DataFrame:
-    """block_id and answers, an array of (bucket, answer) in order of bucket.
+    """block_id and answers, an array of (bucket, answer, note) in order of bucket.
 
     ``emit`` gets a row of ``blocks`` (its ``columns``) and gives bucket and
-    payload; ``settle`` gets all payloads of a bucket and answers each.
+    payload; ``settle`` gets all payloads of a bucket and answers each.  What
+    it gives with None for a bucket is a note to the block itself, which goes
+    along with one of its questions, of which there must be one, and comes back.
     """
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,39 +150,45 @@ def ask(blocks: DataFrame, emit: Callable[[dict], Iterator[tuple[int, bytes]]],
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 got = list(emit(row))
+                notes, got = [g[1] for g in got if g[0] is None], [g for g in got if g[0] is not None]
                 if got:
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([g[0] for g in got], pa.int64()), "block_id": pa.array([row["block_id"]] * len(got), pa.int64()), "asked": pa.array([g[1] for g in got], pa.binary())})
+                    notes = [notes[0] if notes and k == row["block_id"] % len(got) else None for k in range(len(got))]
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([g[0] for g in got], pa.int64()), "block_id": pa.array([row["block_id"]] * len(got), pa.int64()), "asked": pa.array([g[1] for g in got], pa.binary()), "note": pa.array(notes, pa.binary())})
 
-    asked = map_arrow(blocks.select(*columns), out, "bucket long, block_id long, asked binary")
+    asked = map_arrow(blocks.select(*columns), out, "bucket long, block_id long, asked binary, note binary")
     return grouped(answered(asked.repartition("bucket").sortWithinPartitions("bucket", "block_id"), settle))
 
 
 def answered(dealt: DataFrame, settle: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """block_id, bucket and answer, from rows that stand sorted by bucket."""
+    """block_id, bucket and answer, from rows that stand sorted by bucket; a note stays as it is."""
+    with_notes = "note" in dealt.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, held = None, [], []
+        at, ids, held, notes = None, [], [], []
 
         def done() -> Iterator[pa.RecordBatch]:
             if held:
-                yield pa.RecordBatch.from_pydict({"block_id": pa.array(ids, pa.int64()), "bucket": pa.array([at] * len(ids), pa.int64()), "answer": pa.array(settle(held), pa.binary())})
+                out = {"block_id": pa.array(ids, pa.int64()), "bucket": pa.array([at] * len(ids), pa.int64()), "answer": pa.array(settle(held), pa.binary())}
+                yield pa.RecordBatch.from_pydict(out | ({"note": pa.array(notes, pa.binary())} if with_notes else {}))
 
         for batch in batches:
             buckets = batch.column("bucket").to_pylist()
-            for bucket, block, asked in zip(buckets, batch.column("block_id").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+            own = batch.column("note").to_pylist() if with_notes else [None] * len(buckets)
+            for bucket, block, asked, its in zip(buckets, batch.column("block_id").to_pylist(), batch.column("asked").to_pylist(), own, strict=True):
                 if bucket != at:
                     yield from done()
-                    at, ids, held = bucket, [], []
+                    at, ids, held, notes = bucket, [], [], []
                 ids.append(block)
                 held.append(asked)
+                notes.append(its)
         yield from done()
 
-    return map_arrow(dealt, run, "block_id long, bucket long, answer binary")
+    return map_arrow(dealt, run, "block_id long, bucket long, answer binary" + ", note binary" * with_notes)
 
 
 def grouped(answers: DataFrame) -> DataFrame:
     """block_id and its answers in order of bucket."""
-    return answers.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("bucket", "answer"))).alias("answers"))
+    return answers.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in ("bucket", "answer", "note") if c in answers.columns]))).alias("answers"))
 
 
 def bits(answers: list[dict] | None, n: int, per_key: int = 1) -> np.ndarray:
@@ -203,6 +211,40 @@ def from_planes(data: bytes, n: int, offset: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, offset).reshape(8, n).T).view("<u8").ravel()
 
 
+def note(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers below 2^31 for the block itself, small ones in few bytes."""
+    import zstandard
+
+    parts = [np.ascontiguousarray(a.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack(f"<q{len(arrays)}q", len(arrays), *map(len, arrays)) + b"".join(parts))
+
+
+def noted(answers: list[dict] | None) -> list[np.ndarray] | None:
+    """The arrays of the :func:`note` that came back with ``answers``, or None."""
+    import zstandard
+
+    for a in answers or []:
+        if a["note"] is not None:
+            raw = zstandard.ZstdDecompressor().decompress(a["note"])
+            (k,) = struct.unpack_from("<q", raw)
+            sizes = struct.unpack_from(f"<{k}q", raw, 8)
+            starts = 8 + 8 * k + 4 * np.r_[0, np.cumsum(sizes)]
+            return [np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view("<i4").ravel().astype(np.int64) for n, at in zip(sizes, starts[:-1].tolist(), strict=True)]
+    return None
+
+
+def edges(flags: np.ndarray) -> np.ndarray:
+    """Where ``flags`` change, each after the one before; none is set before the first."""
+    return np.diff(np.flatnonzero(np.diff(flags, prepend=False)), prepend=0)
+
+
+def between(steps: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` flags of which ``steps`` are the :func:`edges`."""
+    flags = np.zeros(n, dtype=np.uint8)
+    flags[np.cumsum(steps)] = 1
+    return np.bitwise_xor.accumulate(flags).astype(bool)
+
+
 def digests(text: bytes, first: np.ndarray, stop: np.ndarray, salt: bytes) -> tuple[np.ndarray, np.ndarray]:
     """128-bit digests of ``text`` between each ``first`` and ``stop``, as two halves.
 
@@ -212,8 +254,13 @@ def digests(text: bytes, first: np.ndarray, stop: np.ndarray, salt: bytes) -> tu
     """
     from hashlib import blake2b
 
-    got = b"".join([blake2b(text[a:b], digest_size=16, salt=salt).digest() for a, b in zip(first.tolist(), stop.tolist(), strict=True)])
-    halves = np.frombuffer(got, "<u8").reshape(-1, 2)
+    fresh = blake2b(digest_size=16, salt=salt).copy
+    got = []
+    for a, b in zip(first.tolist(), stop.tolist(), strict=True):
+        h = fresh()
+        h.update(text[a:b])
+        got.append(h.digest())
+    halves = np.frombuffer(b"".join(got), "<u8").reshape(-1, 2)
     return halves[:, 0].copy(), halves[:, 1].copy()
 
 
@@ -230,10 +277,9 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def ranges(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
     """Which of ``n`` positions lie in one of the ranges, ends included."""
-    mark = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(mark, first, 1)
-    np.add.at(mark, last + 1, -1)
-    return np.cumsum(mark[:-1]) > 0
+    mark = np.bincount(first, minlength=n + 1)
+    mark -= np.bincount(last + 1, minlength=n + 1)
+    return np.cumsum(mark[:-1], out=mark[:-1]) > 0
 
 
 def as_bits(flags: np.ndarray) -> bytes:

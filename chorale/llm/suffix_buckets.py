@@ -11,6 +11,9 @@ buckets that the positions 8 bytes on are in, its new pointers serve to refine
 to 32 bytes, and so on.  One string of each last bucket stands for it in a
 second round, in which blocks compare digests of whole strings.
 
+A block's grams, stretches and buckets are made once.  What a later round needs
+of them, places and orders, goes along as a note of the block to itself.
+
 Hashes of grams only say what to compare.  What counts as equal is decided by
 pointers, which are sorted bytes, and across blocks by 128-bit digests under a
 salt of the run's own.
@@ -27,15 +30,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chorale.llm.blocks import Block, Buckets, ask, bits, digests, from_planes, growth, pack, planes, ranges, runs, split, unpack
-from chorale.llm.common import cut, map_arrow
+from chorale.llm.blocks import Block, Buckets, ask, between, bits, digests, edges, from_planes, growth, note, noted, pack, planes, ranges, runs, split, unpack
+from chorale.llm.common import map_arrow
 
 #: Bytes of a string that counts, and of the grams of which it has a least one.
 LENGTH, Q = 200, 64
 #: Hashes of a bucket, on average, before it grows with the total.
 BUCKET_KEYS = 500_000
-#: Starts that are looked at at once; within that, ties go to the leftmost gram.
-CHUNK = 1 << 23
+#: Starts that are looked at at once, so that the numbers stay in a core's cache;
+#: 2^24 at most.  Ties go to the leftmost gram; results do not depend on it.
+CHUNK = 1 << 16
 _PLACE = np.uint64(24)
 
 
@@ -50,11 +54,10 @@ def words_of(text: bytes, n: int) -> np.ndarray:
 
 def _paired(a: np.ndarray, step: int) -> np.ndarray:
     """Hashes of twice the depth, of those ``step`` apart."""
-    b = np.r_[a[step:], np.zeros(min(step, len(a)), dtype=np.uint64)]
     with np.errstate(over="ignore"):
         h = a * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
-        h += b
+        h[: max(0, len(a) - step)] += a[step:]
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
     return h
@@ -80,8 +83,11 @@ def refined(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.nd
         several = np.flatnonzero(count[pointer] > 1)
         if not len(several):
             break
-        later = np.r_[pointer, np.full(step, -1)][several + step]
-        by, first = runs(pointer[several], later)
+        # as one number, which sorts faster than two; pointers are below 2^32, and 0 stands beyond the end
+        pair = pointer[several].astype(np.uint64) << np.uint64(32)
+        pair |= np.r_[pointer + 1, np.zeros(step, dtype=np.int64)][several + step].astype(np.uint64)
+        by = np.argsort(pair)
+        first = np.flatnonzero(np.diff(pair[by], prepend=~pair[by[:1]]))
         rank = np.empty(len(several), dtype=np.int64)
         rank[by] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(several)]))
         fresh = np.arange(len(first), len(first) + n)
@@ -102,11 +108,14 @@ class Grams:
         self.n = len(self.text)
         self.ends = block.ends.astype(np.int64)
         self.sizes = np.diff(np.r_[0, self.ends])
-        self.hash = words_of(block.text, self.n)
-        depth = 8
-        while depth < Q:
-            self.hash = _paired(self.hash, depth)
-            depth *= 2
+        words = words_of(block.text, self.n)
+        self.hash = np.empty_like(words)
+        for a in range(0, self.n, CHUNK):
+            h, depth = words[a : a + CHUNK + Q - 8], 8
+            while depth < Q:
+                h = _paired(h, depth)
+                depth *= 2
+            self.hash[a : a + CHUNK] = h[:CHUNK]
 
     def minimisers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Least grams of strings, leftmost among equals, and the first and last string of each.
@@ -150,12 +159,18 @@ class Stretches:
         self.place = np.empty(len(by), dtype=np.int64)
         self.place[by] = np.repeat(np.arange(len(new)), self.counts)
 
+    def note(self) -> bytes:
+        """Where the stretches are, and the entry of each."""
+        return note(np.diff(self.first, prepend=0), self.last - self.first, self.place)
+
 
 def _emit_stretches(buckets: int, salt: bytes) -> Callable[[dict], Iterator[tuple[int, bytes]]]:
     dealt = Buckets(buckets)
 
     def emit(row: dict) -> Iterator[tuple[int, bytes]]:
         s = Stretches(Grams(unpack(row["payload"])), salt)
+        if len(s.key):
+            yield None, s.note()
         for k, a, b in dealt.slices(s.key):
             yield k, struct.pack("<q", b - a) + s.key[a:b].astype("<u4").tobytes() + s.high[a:b].tobytes() + s.low[a:b].tobytes() + np.packbits(s.counts[a:b] > 1).tobytes()
 
@@ -206,47 +221,64 @@ class Strings:
     Some starts are both: what the same stretch elsewhere settles counts on them.
     """
 
-    def __init__(self, grams: Grams, answers: list[dict] | None, salt: bytes):
-        self.sure = np.zeros(grams.n, dtype=bool)
-        self.open = np.empty(0, dtype=np.int64)
+    def __init__(self, data: bytes, answers: list[dict] | None, salt: bytes):
+        text = np.frombuffer(data, dtype=np.uint8)
+        self.sure = self.ask_for = np.zeros(len(text), dtype=bool)
         self.high = self.low = np.empty(0, dtype=np.uint64)
-        self.counts = self.place = self.open
+        self.counts = self.bucket = self.rank = np.empty(0, dtype=np.int64)
         if not answers:
             return
-        s = Stretches(grams, salt)
-        got = bits(answers, len(s.key), 2)[s.place]
-        self.sure = ranges(s.first[got[:, 0]], s.last[got[:, 0]], grams.n)
-        self.open = np.flatnonzero(ranges(s.first[got[:, 1]], s.last[got[:, 1]], grams.n))
-        if not len(self.open):
+        steps, more, place = noted(answers)
+        first = np.cumsum(steps)
+        last = first + more
+        got = bits(answers, int(place.max()) + 1, 2)[place]
+        self.sure = ranges(first[got[:, 0]], last[got[:, 0]], len(text))
+        self.ask_for = ranges(first[got[:, 1]], last[got[:, 1]], len(text))
+        starts = np.flatnonzero(self.ask_for)
+        if not len(starts):
             return
-        bucket = refined(grams.text, self.open)
-        _, one, counts = np.unique(bucket, return_index=True, return_counts=True)
-        high, low = digests(grams.bytes, self.open[one], self.open[one] + LENGTH, salt)
+        _, one, bucket, counts = np.unique(refined(text, starts), return_index=True, return_inverse=True, return_counts=True)
+        # numbered as they come in the text, so that most differ by one from the one before
+        by = np.argsort(one)
+        one, counts = one[by], counts[by]
+        order = np.empty(len(by), dtype=np.int64)
+        order[by] = np.arange(len(by))
+        self.bucket = order[bucket]
+        high, low = digests(data, starts[one], starts[one] + LENGTH, salt)
         by = np.lexsort((low, high))
         self.high, self.low, self.counts = high[by], low[by], counts[by]
-        rank = np.empty(len(by), dtype=np.int64)
-        rank[by] = np.arange(len(by))
-        self.place = rank[bucket]
+        self.rank = np.empty(len(by), dtype=np.int64)
+        self.rank[by] = np.arange(len(by))
+
+    def note(self) -> bytes:
+        """The settled starts, those asked for, the bucket of each of these, and the place of each bucket's digest."""
+        return note(edges(self.sure), edges(self.ask_for), np.diff(self.bucket, prepend=0), self.rank)
 
 
 def _emit_strings(buckets: int, salt: bytes) -> Callable[[dict], Iterator[tuple[int, bytes]]]:
     dealt = Buckets(buckets)
 
     def emit(row: dict) -> Iterator[tuple[int, bytes]]:
-        s = Strings(Grams(unpack(row["payload"])), row["answers"], salt)
-        for k, a, b in dealt.slices(s.high):
+        s = Strings(unpack(row["payload"]).text, row["answers"], salt)
+        if not (s.sure.any() or len(s.high)):
+            return
+        yield None, s.note()
+        # a block all of whose starts are settled asks for nothing, so that its note comes back
+        for k, a, b in dealt.slices(s.high) or [(row["block_id"] % buckets, 0, 0)]:
             yield k, struct.pack("<q", b - a) + planes(s.high[a:b]) + s.low[a:b].tobytes() + np.packbits(s.counts[a:b] > 1).tobytes()
 
     return emit
 
 
-def _covered(grams: Grams, row: dict, salt: bytes) -> np.ndarray:
-    """Which bytes lie in a string that also stands elsewhere."""
-    s = Strings(grams, row["answers"], salt)
-    if len(s.open):
-        s.sure[s.open[bits(row["strings"], len(s.high))[:, 0][s.place]]] = True
-    starts = np.flatnonzero(s.sure)
-    return ranges(starts, starts + LENGTH - 1, grams.n)
+def _covered(n: int, answers: list[dict] | None) -> np.ndarray:
+    """Which of a block's bytes lie in a string that also stands elsewhere, by what the second round says."""
+    if not answers:
+        return np.zeros(n, dtype=bool)
+    sure, ask_for, steps, rank = noted(answers)
+    sure, starts = between(sure, n), np.flatnonzero(between(ask_for, n))
+    sure[starts[bits(answers, len(rank))[:, 0][rank][np.cumsum(steps)]]] = True
+    starts = np.flatnonzero(sure)
+    return ranges(starts, starts + LENGTH - 1, n)
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_bytes: bool = False) -> DataFrame:
@@ -268,27 +300,28 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_byte
     salt = os.urandom(16)
     blocks, total = pack(docs, doc_id, text)
     buckets = max(1, -(-total // int(40 * BUCKET_KEYS * growth(total))))
-    shared = cut(ask(blocks, _emit_stretches(buckets, salt), _settle_stretches, ["block_id", "payload"]))
+    shared = ask(blocks, _emit_stretches(buckets, salt), _settle_stretches, ["block_id", "payload"])
     asking = blocks.select("block_id", "payload").join(shared, "block_id", "left")
     strings = ask(asking, _emit_strings(buckets, salt), _settle_strings, ["block_id", "payload", "answers"])
-    whole = asking.join(strings.withColumnRenamed("answers", "strings"), "block_id", "left")
+    whole = blocks.select("block_id", "payload").join(strings, "block_id", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 block = unpack(row["payload"])
-                grams = Grams(block)
-                gone = _covered(grams, row, salt)
+                text = np.frombuffer(block.text, dtype=np.uint8)
+                sizes = np.diff(block.ends, prepend=0)
+                gone = _covered(len(text), row["answers"])
                 kept, removed, spans = [], [], []
-                for e, size in zip(grams.ends.tolist(), grams.sizes.tolist(), strict=True):
+                for e, size in zip(block.ends.tolist(), sizes.tolist(), strict=True):
                     g = gone[e - size : e]
                     removed.append(int(g.sum()))
                     spans.append(int(np.count_nonzero(g & ~np.r_[False, g[:-1]])) if size else 0)
-                    kept.append(block.text[e - size : e] if not removed[-1] else grams.text[e - size : e][~g].tobytes())
+                    kept.append(block.text[e - size : e] if not removed[-1] else text[e - size : e][~g].tobytes())
                 out = {
                     "doc_id": pa.array(block.id_list(), pa.int64()),
-                    "n_bytes": pa.array(grams.sizes),
+                    "n_bytes": pa.array(sizes, pa.int64()),
                     "n_removed": pa.array(removed, pa.int64()),
                     "n_spans": pa.array(spans, pa.int64()),
                     "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string()),
@@ -298,4 +331,4 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_byte
                 yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
-    return map_arrow(whole.select("block_id", "payload", "answers", "strings"), finish, schema)
+    return map_arrow(whole.select("payload", "answers"), finish, schema)

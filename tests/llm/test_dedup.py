@@ -1,10 +1,12 @@
+import struct
 from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 
 import brute
-from chorale.llm import components, difference_cover, simhash, suffix_buckets
+from chorale.llm import blocks, components, difference_cover, simhash, suffix_buckets
 
 
 def ordered(df):
@@ -145,3 +147,63 @@ def test_odd_column_names(spark):
     df = spark.createDataFrame(rows, ["doc_id", "text", "a.b"])
     got = {r[0]: (r[1], r[2]) for r in difference_cover.remove_repeats(df).collect()}
     assert got == {1: rows[0][1:], 2: (None, 4), 3: ("", 5)}
+
+
+def test_a_blocks_grams_and_buckets_are_made_once(monkeypatch, rows):
+    """The rounds of op5 without Spark: what a block has worked out comes back to it as a note."""
+    made = Counter()
+    for owner, name in ((suffix_buckets.Grams, "__init__"), (suffix_buckets, "refined"), (suffix_buckets.Grams, "minimisers")):
+        work = getattr(owner, name)
+        monkeypatch.setattr(owner, name, lambda *a, work=work, name=name: (made.update([name]), work(*a))[1])
+    salt, half = bytes(16), len(rows) // 2
+    parts = []
+    for part in (rows[:half], rows[half:]):
+        texts = [(t or "").encode() for _, t in part]
+        raw = struct.pack("<q", len(texts)) + bytes(8 * len(texts)) + np.array(list(map(len, texts)), "<i8").tobytes() + bytes(len(texts)) + b"".join(texts)
+        parts.append({"block_id": len(parts) + 1, "payload": zstandard.ZstdCompressor().compress(raw)})
+    for emit, settle in ((suffix_buckets._emit_stretches, suffix_buckets._settle_stretches), (suffix_buckets._emit_strings, suffix_buckets._settle_strings)):
+        asked, answers = {}, {1: [], 2: []}
+        for p in parts:
+            got = list(emit(3, salt)(p))
+            note = next((data for bucket, data in got if bucket is None), None)
+            for bucket, data in got:
+                if bucket is not None:
+                    asked.setdefault(bucket, []).append((p["block_id"], data, note))
+                    note = None
+        for bucket, held in sorted(asked.items()):
+            for (block, _, note), answer in zip(held, settle([h[1] for h in held]), strict=True):
+                answers[block].append({"bucket": bucket, "answer": answer, "note": note})
+        for p in parts:
+            p["answers"] = answers[p["block_id"]]
+    removed = []
+    for p in parts:
+        block = blocks.unpack(p["payload"])
+        gone = suffix_buckets._covered(len(block.text), p["answers"])
+        removed += [int(gone[e - s : e].sum()) for e, s in zip(block.ends.tolist(), np.diff(block.ends, prepend=0).tolist(), strict=True)]
+    assert removed == [r[2] for r in brute.byte_repeats(rows)]
+    # it was twice for refinement and three times for the rest
+    assert {k: made[k] for k in ("__init__", "minimisers", "refined")} == dict.fromkeys(("__init__", "minimisers", "refined"), len(parts))
+
+
+def test_notes_come_back():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 7, 5000):
+        for share in (0, 0.01, 0.5, 1):
+            flags = rng.random(n) < share
+            assert (blocks.between(blocks.edges(flags), n) == flags).all()
+    arrays = [np.array([], dtype=np.int64), np.array([-5, 0, 1 << 30]), rng.integers(0, 1 << 31, 999)]
+    back = blocks.noted([{"bucket": 0, "answer": b"", "note": None}, {"bucket": 2, "answer": b"", "note": blocks.note(*arrays)}])
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, back, strict=True))
+    assert blocks.noted(None) is None
+
+
+def test_a_block_without_open_strings_keeps_what_is_settled(spark, monkeypatch):
+    """Whole copies, each in a block of its own: the second round has nothing to ask."""
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 1000)
+    rng = np.random.default_rng(8)
+    texts = ["".join(map(chr, rng.integers(97, 123, 900))) for _ in range(3)]
+    rows = [(1, texts[0]), (2, texts[0]), (3, texts[1]), (4, texts[2]), (5, "short"), (6, None), (7, texts[2] + texts[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ordered(suffix_buckets.dedup(df)) == sorted(map(repr, brute.byte_repeats(rows)))
+    some = spark.createDataFrame(rows[:3], "doc_id long, text string")
+    assert ordered(suffix_buckets.dedup(some)) == sorted(map(repr, brute.byte_repeats(rows[:3])))
