@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chorale.functions.shared import shared_folder
+
 
 def mask_folder(spark: SparkSession) -> str:
     """A folder for masks beside the shared checkpoints (a temporary one in tests)."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return f"{context.getCheckpointDir()}/masks"
+    return f"{shared_folder(spark)}/masks"
 
 
 def stash(mask: DataFrame, name: str, folder: str | None = None, overwrite: bool = False) -> str:

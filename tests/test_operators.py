@@ -215,6 +215,41 @@ def test_knn_in_several_blocks_and_ties(spark, monkeypatch):
     assert first[0] == 1 and first[1] == 0
 
 
+def _all_pairs(rows, k):
+    """i, rank, j of the k nearest in plain Python."""
+    sound = [(i, v) for i, v in rows if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    out = set()
+    for i in {i for i, _ in sound}:
+        near = sorted((math.sqrt(sum((x - y) ** 2 for x, y in zip(v, w))), j) for n, v in sound if n == i for j, w in sound if j != i)
+        out |= {(i, rank, j) for rank, (_, j) in enumerate(near[:k], 1)}
+    return out
+
+
+@pytest.mark.parametrize("kind", ["plain", "equal", "offset", "near copies", "huge", "tiny", "far point", "one hot", "odd"])
+def test_knn_of_every_scale(spark, monkeypatch, kind):
+    """Cells in single precision agree with all pairs, whatever the points' scale, copies and missing values."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(150, 5))
+    v = {"equal": np.repeat(v[:5], 30, axis=0), "offset": v * 1e-3 + 1e4, "near copies": v[:1] + 1e-9 * v, "huge": v * 1e150, "tiny": v * 1e-120, "far point": np.vstack([v[1:], [1e40] * 5]), "one hot": np.eye(5)[np.arange(150) % 5]}.get(kind, v)
+    rows = [(n, x.tolist()) for n, x in enumerate(v)]
+    if kind == "odd":
+        rows += [(None, [0.0] * 5), (900, None), (901, [None, 0.0, 0.0, 0.0, 0.0]), (902, [math.nan] * 5), (903, [math.inf] * 5), (7, v[8].tolist()), (8, v[8].tolist())]
+    monkeypatch.setattr(graph, "BLOCK", 40)
+    got = graph.knn(spark.createDataFrame(rows, "i long, v array<double>"), 4)
+    assert {(r.i, r["rank"], r.j) for r in got.collect()} == _all_pairs(rows, 4)
+
+
+def test_neighbours_are_searched_once_and_copies_stay_few(spark, monkeypatch):
+    """A graph takes its edges several times; what is searched is no part of its plan.  Equal points are not all candidates."""
+    monkeypatch.setattr(graph, "BLOCK", 50)
+    pts = spark.createDataFrame([(n, [1.0, 2.0]) for n in range(200)], "i long, v array<double>")
+    assert graph._near(pts, 3, None).count() <= 200 * 3 * 4
+    for g in (graph.bimarkov, graph.anisotropic, graph.normalized_laplacian):
+        plan = g(graph.knn_graph(graph.knn(pts, 3)))._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan
+    assert graph.eps_edges(pts, 0.5, 1.0).count() == 200 * 199
+
+
 def test_fence_edges(spark):
     x = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 4, 100)] + [("b", 5.0), ("b", 5.0), ("a", None)], "g string, v double")
     kept = robust.fenced(x, "v", ["g"], 1.5)
