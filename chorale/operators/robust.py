@@ -3,11 +3,65 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chorale.functions.columns import quantile
+from chorale.functions.shared import settled
+
+#: Groups whose bounds are broadcast at most.
+GROUPS = 100_000
+
+
+def quantiles(df: DataFrame, value: str, by: list[str], **qs: float) -> DataFrame:
+    """``by`` and the exact linear-interpolation quantiles ``qs`` by name: a row for every group, NULL where it has no value.
+
+    Distinct values are dealt out by range with their counts, and kept; counts
+    before each range and before each value in it give the ranks, so that a large
+    group is held by no task.
+    """
+    keys = [f"__k{n}" for n in range(len(by) or 1)]
+    groups = [F.col(b).alias(k) for b, k in zip(by, keys)] or [F.lit(0).alias(keys[0])]
+    counts = df.select(*groups, F.col(value).cast("double").alias("__v")).groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = settled(counts.repartitionByRange(ranges, *keys, "__v").withColumn("__p", F.spark_partition_id()))
+    values = kept.where("__v is not null")
+
+    sums = values.groupBy(*keys, "__p").agg(F.sum("__n").alias("__m"))
+    before = F.sum("__m").over(Window.partitionBy(*keys).orderBy("__p")) - F.col("__m")
+    sums = sums.select(*keys, "__p", "__m", before.alias("__from"), F.sum("__m").over(Window.partitionBy(*keys)).alias("__total"))
+    places = {name: (F.col("__total") - 1) * F.lit(float(q)) for name, q in qs.items()}
+    ranks = [f(p).cast("long") for p in places.values() for f in (F.floor, F.ceil)]
+    within = [(r >= F.col("__from")) & (r < F.col("__from") + F.col("__m")) for r in ranks]
+    hit = sums.where(reduce(or_, within)).select(*[F.col(k).alias(f"{k}h") for k in keys], F.col("__p").alias("__ph"), F.col("__from").alias("__base"), "__total")
+    near = values.join(hit, reduce(and_, [F.col(k).eqNullSafe(F.col(f"{k}h")) for k in keys] + [F.col("__p") == F.col("__ph")])).drop(*[f"{k}h" for k in keys], "__ph")
+    to = F.sum("__n").over(Window.partitionBy(*keys, "__p").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    near = near.withColumn("__to", F.col("__base") + to)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank < F.col("__to")) & (rank >= F.col("__to") - F.col("__n")), F.col("__v")))
+
+    ends = [c.alias(f"{name}_{end}") for name, p in places.items() for end, c in (("lo", at(F.floor(p).cast("long"))), ("hi", at(F.ceil(p).cast("long"))))]
+    found = near.groupBy(*keys).agg(F.max("__total").alias("__total"), *ends)
+    out = []
+    for name, p in places.items():
+        lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        out.append(F.when(lo == hi, lo).otherwise((F.ceil(p) - p) * lo + (p - F.floor(p)) * hi).alias(name))
+    found = found.select(*[F.col(k).alias(f"{k}f") for k in keys], *out)
+    all_groups = kept.select(*keys).distinct()
+    found = all_groups.join(found, reduce(and_, [F.col(k).eqNullSafe(F.col(f"{k}f")) for k in keys]), "left")
+    return found.select(*[F.col(k).alias(b) for b, k in zip(by, keys)], *qs)
+
+
+def _joined(df: DataFrame, bounds: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with its groups' bounds; those of few groups are broadcast, as a join by few keys has as few tasks."""
+    if not by:
+        return df.crossJoin(F.broadcast(bounds))  # one row
+    bounds = settled(bounds)
+    return df.join(F.broadcast(bounds) if bounds.count() <= GROUPS else bounds, by)
 
 
 def fenced(df: DataFrame, value: str, by: list[str], k: float, lo: float = 0.25, hi: float = 0.75, how: str = "both") -> DataFrame:
@@ -16,8 +70,7 @@ def fenced(df: DataFrame, value: str, by: list[str], k: float, lo: float = 0.25,
     Bounds are inclusive; a null value is no inlier.  The bounds are one row per
     group, joined back, so that no group is held in memory.
     """
-    q = df.groupBy(*by).agg(quantile(value, lo).alias("__lo"), quantile(value, hi).alias("__hi"))
-    joined = df.join(q, by) if by else df.crossJoin(F.broadcast(q))  # one row
+    joined = _joined(df, quantiles(df, value, by, __lo=lo, __hi=hi), by)
     span = F.col("__hi") - F.col("__lo")
     low = F.col(value) >= F.col("__lo") - k * span if how in ("both", "lower") else F.lit(True)
     high = F.col(value) <= F.col("__hi") + k * span if how in ("both", "upper") else F.lit(True)
@@ -124,11 +177,11 @@ def box(df: DataFrame, value: str, by: list[str], k: float, clamp: bool = False)
     Whiskers are the extreme inliers, or with ``clamp`` the extremes of all
     values moved to the fence where they are beyond it.
     """
-    q = df.groupBy(*by).agg(quantile(value, 0.25).alias("q1"), quantile(value, 0.5).alias("med"), quantile(value, 0.75).alias("q3"))
+    q = quantiles(df, value, by, q1=0.25, med=0.5, q3=0.75)
     v, span = F.col(value), F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - k * span, F.col("q3") + k * span
     inside = (v >= lo) & (v <= hi)
-    agg = df.join(q, by).groupBy(*by, "q1", "med", "q3").agg(F.min(v if clamp else F.when(inside, v)).alias("lo"), F.max(v if clamp else F.when(inside, v)).alias("hi"), F.sum(F.when(inside, 0).otherwise(F.when(v.isNotNull(), 1))).alias("n_out"))
+    agg = _joined(df, q, by).groupBy(*by, "q1", "med", "q3").agg(F.min(v if clamp else F.when(inside, v)).alias("lo"), F.max(v if clamp else F.when(inside, v)).alias("hi"), F.sum(F.when(inside, 0).otherwise(F.when(v.isNotNull(), 1))).alias("n_out"))
     if clamp:
         agg = agg.withColumn("lo", F.greatest("lo", lo)).withColumn("hi", F.least("hi", hi))
     return agg.withColumn("n_out", F.coalesce("n_out", F.lit(0)).cast("long"))

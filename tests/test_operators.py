@@ -259,6 +259,25 @@ def test_fence_edges(spark):
     assert robust.fenced(x.where("false"), "v", ["g"], 1.5).count() == 0
 
 
+def test_quantiles_of_groups_of_every_kind(spark):
+    rng = np.random.default_rng(5)
+    rows = [("big", float(x)) for x in rng.normal(size=500)] + [("few", 1.0), ("few", 2.0)] + [("one", 3.0)] * 40 + [("none", None)] * 3 + [(None, 4.0), ("nan", math.nan), ("nan", 0.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = {"a": 0.0, "b": 0.25, "c": 0.37, "d": 0.8, "e": 1.0}
+    want = df.groupBy("g").agg(*[F.percentile("v", F.lit(q)).alias(n) for n, q in qs.items()])
+    assert sorted(map(repr, robust.quantiles(df, "v", ["g"], **qs).collect())) == sorted(map(repr, want.collect()))
+    whole = df.where("g != 'nan'")
+    assert robust.quantiles(whole, "v", [], **qs).collect() == whole.agg(*[F.percentile("v", F.lit(q)).alias(n) for n, q in qs.items()]).collect()
+
+
+def test_a_large_group_is_in_no_single_task(spark):
+    """Neither for its quantiles nor for the join with them."""
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 3001).cast("double").alias("v"))
+    plan = robust.fenced(df, "v", ["g"], 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "percentile" not in robust.box(df, "v", ["g"], 0.5)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_constant_channel_is_bad(spark):
     p = spark.createDataFrame([(0, 1.0), (1, 1.1), (2, 0.9), (3, 0.0), (4, None)], "chan int, p double")
     ok = {r.chan: r.ok for r in robust.bad_channels(p).collect()}
