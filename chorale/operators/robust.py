@@ -91,10 +91,11 @@ def auto_mask(power: DataFrame, value: str = "p", k: float = 3.0, step: float =
     """chan and ok: :func:`bad_channels` again and again on the channels left, each fence ``step`` wider.
 
     It ends when a round drops no channel, or none are left.  What a round
-    keeps is an interval of log power, so that rounds hand on two numbers.
+    keeps is an interval of log power, so that rounds hand on two numbers; the
+    log power itself is computed once.
     """
     l = F.when(F.col(value) > 0, F.log(value))
-    logs = power.select("chan", l.alias("l"))
+    logs = settled(power.select("chan", l.alias("l")))
     lo, hi = math.nextafter(math.log(1e-8), math.inf), math.inf
     before = logs.count()
     while True:
@@ -119,7 +120,7 @@ def block_std(blocks: DataFrame) -> DataFrame:
 
 def safe_avg_power(blocks: DataFrame, k: float = 3.0, per_chan: bool = False) -> DataFrame:
     """chan, power, n_blocks: mean deviation of a channel's blocks without outlying ones."""
-    cells = fenced(block_std(blocks), "s", ["chan"] if per_chan else [], k)
+    cells = fenced(settled(block_std(blocks)), "s", ["chan"] if per_chan else [], k)
     return cells.where("inlier").groupBy("chan").agg(F.avg("s").alias("power"), F.count("*").alias("n_blocks"))
 
 

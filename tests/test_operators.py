@@ -278,6 +278,19 @@ def test_a_large_group_is_in_no_single_task(spark):
     assert "percentile" not in robust.box(df, "v", ["g"], 0.5)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_auto_mask_computes_power_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    power = spark.createDataFrame([(c, float(c * c + 1)) for c in range(60)], "chan long, p double").mapInArrow(noted, "chan long, p double")
+    assert robust.auto_mask(power, k=0.5).where("ok").count() < 60
+    assert seen.value <= 2 * 60
+
+
 def test_constant_channel_is_bad(spark):
     p = spark.createDataFrame([(0, 1.0), (1, 1.1), (2, 0.9), (3, 0.0), (4, None)], "chan int, p double")
     ok = {r.chan: r.ok for r in robust.bad_channels(p).collect()}
