@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from chorale.functions.arrow import map_arrow
 from chorale.functions.shared import settled
 
-#: Points of a block; a cell's side has at most SIDE blocks, and a side of the points fewer than PARTS parts only if a part would be below a block.
+#: Points of a block; a cell's side has at most SIDE blocks, about. There are PARTS parts of the points at least (a third more
+#: where each pair of parts is one cell), unless a part would be below a block.
 BLOCK, SIDE, PARTS = 4096, 16, 6
 #: Tasks of a search at most.
 TASKS = 1024
@@ -22,15 +23,16 @@ def affinity(d2: Column, sigma2: Column | float) -> Column:
     return F.exp(-d2 / (2 * sigma2))
 
 
-def _cells(points: DataFrame) -> DataFrame:
+def _cells(points: DataFrame, ordered: bool) -> DataFrame:
     """cell, side, ids, dims, narrow, vs: packed blocks of the points that each cell compares, side 0 with side 1.
 
-    Points are dealt into parts by their ids, and every ordered pair of parts is
+    Points are dealt into parts by their ids, and every pair of parts (``ordered``: in both orders) is
     a cell, so that what a task holds is bounded; cells lie in partitions of their own.
     """
     count, block = points.count(), BLOCK
-    parts = max(1, -(-count // (SIDE * block)), min(-(-count // block), PARTS))
-    tasks = min(parts * parts, TASKS)
+    parts = max(1, -(-count // (SIDE * block)), min(-(-count // block), PARTS if ordered else PARTS * 4 // 3))
+    pairs = {pair: n for n, pair in enumerate((r, c) for r in range(parts) for c in range(parts) if ordered or r <= c)}
+    tasks = min(len(pairs), TASKS)
     keys = {r.p: r.id for r in points.sparkSession.range(0, 16 * tasks, 1, 1).select("id", F.pmod(F.hash("id"), F.lit(tasks)).alias("p")).collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,8 +58,8 @@ def _cells(points: DataFrame) -> DataFrame:
         sound = sound[np.argsort(part[sound], kind="stable")]
         for g in np.unique(part[sound]).tolist():
             mine = sound[part[sound] == g]
-            to = [(g * parts + c, 0) for c in range(parts)] + [(r * parts + g, 1) for r in range(parts)]
-            to = [{"key": keys.get(cell % tasks, cell), "cell": cell, "side": side} for cell, side in to]
+            to = [(pairs.get((g, other)), 0) for other in range(parts)] + [(pairs.get((other, g)), 1) for other in range(parts)]
+            to = [{"key": keys.get(cell % tasks, cell), "cell": cell, "side": side} for cell, side in to if cell is not None]
             for n in range(0, len(mine), block):
                 at = mine[n : n + block]
                 with np.errstate(over="ignore"):
@@ -212,7 +214,10 @@ def _compare(i: np.ndarray, a: np.ndarray, j: np.ndarray, b: np.ndarray, k: int
 
 
 def _near(points: DataFrame, k: int | None, eps: float | None) -> DataFrame:
-    """i, j, dist of each cell's k nearest, or of all under ``eps``; a point with a NULL or non-finite coordinate has none."""
+    """i, j, dist of each cell's k nearest, or of all under ``eps``; a point with a NULL or non-finite coordinate has none.
+
+    Pairs under ``eps`` count in both orders, and are found in one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, rows = None, []
@@ -233,10 +238,13 @@ def _near(points: DataFrame, k: int | None, eps: float | None) -> DataFrame:
         rows.clear()
         if a.shape[1] != b.shape[1]:
             raise ValueError("points have different numbers of coordinates")
+        both = not k and not np.isin(i[0], j)  # an id is in one part
         for one in _compare(i, a, j, b, k, eps):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in one], names=["i", "j", "dist"])
+            if both:
+                yield pa.RecordBatch.from_arrays([pa.array(one[n]) for n in (1, 0, 2)], names=["i", "j", "dist"])
 
-    return map_arrow(_cells(points), run, "i long, j long, dist double")
+    return map_arrow(_cells(points, bool(k)), run, "i long, j long, dist double")
 
 
 def knn(points: DataFrame, k: int) -> DataFrame:

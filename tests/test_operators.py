@@ -259,6 +259,19 @@ def test_fence_edges(spark):
     assert robust.fenced(x.where("false"), "v", ["g"], 1.5).count() == 0
 
 
+def test_pairs_under_eps_in_several_cells(spark, monkeypatch):
+    """Both orders of each pair, from one comparison."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(150, 3))
+    monkeypatch.setattr(graph, "BLOCK", 40)
+    pts = spark.createDataFrame([(n, x.tolist()) for n, x in enumerate(v)] + [(3, v[9].tolist()), (500, [math.nan] * 3)], "i long, v array<double>")
+    got = sorted((r.i, r.j, r.w) for r in graph.eps_edges(pts, 0.9, 0.0).collect())
+    at = [*enumerate(v), (3, v[9])]
+    assert got == sorted((i, j, 1.0) for i, a in at for j, b in at if i != j and math.dist(a, b) < 0.9)
+    cells = graph._cells(pts, False).select("cell").distinct().count()
+    assert cells == 4 * 5 // 2 and graph._cells(pts, True).select("cell").distinct().count() == 16
+
+
 def test_quantiles_of_groups_of_every_kind(spark):
     rng = np.random.default_rng(5)
     rows = [("big", float(x)) for x in rng.normal(size=500)] + [("few", 1.0), ("few", 2.0)] + [("one", 3.0)] * 40 + [("none", None)] * 3 + [(None, 4.0), ("nan", math.nan), ("nan", 0.0)]
